@@ -27,12 +27,13 @@ from .features import DIMS, byte_counts
 SAMPLE = 20_000
 #: Production targets: a domain's share of tokens to this power, so that small domains gain.
 TEMPERATURE = 0.7
+EVIDENCE = 200
 ROUNDS, TOLERANCE = 40, 1e-9
 
 
 @dataclass
 class Classifier:
-    """Multinomial naive Bayes on hashed byte n-grams; evidence counts as the root of a text's length, so that posteriors stay soft."""
+    """Multinomial naive Bayes on hashed byte n-grams; a text's evidence counts as that of EVIDENCE n-grams at most, so that posteriors stay soft."""
 
     domains: list[str]
     prior: np.ndarray
@@ -42,7 +43,7 @@ class Classifier:
         counts = byte_counts(data or b"")
         at = np.flatnonzero(counts)
         total = counts.sum()
-        x = self.prior + (counts[at] @ self.weights[at] / np.sqrt(total) if total else 0.0)
+        x = self.prior + (counts[at] @ self.weights[at] * (min(total, EVIDENCE) / total) if total else 0.0)
         x = np.exp(x - x.max())
         return x / x.sum()
 
