@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,16 +75,19 @@ def units(words: Column, kind: str) -> Column:
     return UNITS[kind](words)
 
 
-@cache
-def stopwords() -> tuple[str, ...]:
-    """Spark's own English list, a parameter wherever it is used; results depend on it."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return tuple(sorted({w.replace("'", "") for w in StopWordsRemover.loadDefaultStopWords("english")}))
+#: English function words; a parameter wherever it is used, and results depend on it.
+STOPWORDS = tuple(
+    """a an the this that these those each every some any no none both all either neither such same other another
+    i me my mine we us our ours you your yours he him his she her hers it its they them their theirs who whom whose which what
+    and or but nor so yet if then else because although though while unless until since whether than as
+    of in on at by for with about against between into through during before after above below to from up down out off over under
+    am is are was were be been being have has had having do does did doing will would shall should can could may might must
+    not only own too very just now here there when where why how again further once more most few""".split()
+)
 
 
-def _list(words: tuple[str, ...]) -> Column:
-    return F.array(*map(F.lit, words))
+def stopwords() -> tuple[str, ...]:
+    return STOPWORDS
 
 
 def without_stopwords(words: Column, stop: tuple[str, ...]) -> Column:
