@@ -2,8 +2,8 @@
 
 Texts become TF-IDF vectors of hashed letter n-grams, of length one. A language's
 labelled sample is clustered by spherical k-means; a text gets the language of the
-centroid with the largest cosine. It is rejected if it is farther from it than any
-text of its length in the sample by half of the remaining way to cosine zero.
+centroid with the largest cosine. It is rejected if that cosine is under half of
+the smallest one among the sample's texts of its length.
 """
 
 from __future__ import annotations
@@ -106,11 +106,13 @@ def _fit_language(pdf: pd.DataFrame) -> pd.DataFrame:
         x[i, at] = v
     centres = cluster(x, CENTROIDS)
     far, size = 1.0 - (x @ centres.T).max(1), pdf["size"].to_numpy()
+    worst = {c: far[size == c].max() for c in set(size.tolist())}
     limits = np.ones(CLASSES)
     for c in range(CLASSES):
-        # a length class that the sample lacks has the limit of the next shorter one; below all of them nothing is rejected for distance
-        worst = far[size == c].max() if (size == c).any() else None
-        limits[c] = (1 + worst) / 2 if worst is not None else limits[c - 1] if c else 1.0
+        # half of the worst cosine of the class; a class longer than the sample's has the limit of the longest, and one
+        # shorter has half the cosine for each class that it is shorter, since short texts share little with anything
+        near = min(worst, key=lambda w: (abs(w - c), w))
+        limits[c] = 1 - (1 - worst[near]) / 2 ** (1 + max(0, near - c))
     return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "centres": [centres.ravel()], "limits": [limits]})
 
 
@@ -120,13 +122,13 @@ def fit(docs: DataFrame, key: Column) -> Model:
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model(np.ones(DIMS, np.float32), [], np.zeros((DIMS, 0), np.float32), np.zeros(0, int), np.ones((0, CLASSES)))
-    found = arrow_map(labelled.select("text"), _frequency_batches, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = arrow_map(labelled.select("text"), _frequency_batches, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     df = np.zeros(DIMS)
     df[found["bucket"]] = found["n"]
     idf = (np.log((1 + sum(counts.values())) / (1 + df)) + 1).astype(np.float32)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 40, -(-SAMPLE * (1 << 40) // n)))])
     sample = labelled.filter(F.col("rank") < share[F.col("lang")])
-    rows = arrow_map(sample, _vector_batches(idf), "lang string, rank long, at array<int>, x array<float>, size int").groupBy("lang").applyInPandas(_fit_language, "lang string, centres array<float>, limits array<double>").toPandas().sort_values("lang")
+    rows = arrow_map(sample, _vector_batches(idf), "lang string, rank long, at array<int>, x array<float>, size int").groupBy("lang").applyInPandas(_fit_language, "lang string, centres array<float>, limits array<double>").toArrow().to_pandas().sort_values("lang")
     centres = [np.asarray(c, np.float32).reshape(-1, DIMS) for c in rows["centres"]]
     return Model(idf, list(rows["lang"]), np.ascontiguousarray(np.concatenate(centres).T), np.repeat(np.arange(len(centres)), [len(c) for c in centres]), np.stack(list(rows["limits"])))
 

@@ -71,7 +71,7 @@ def learn(docs: DataFrame, labelled: DataFrame) -> Classifier:
         return Classifier([], np.zeros(0), np.zeros((DIMS, 0)))
     own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1 << 30, -(-SAMPLE * (1 << 30) // n)))
     texts = docs.filter("text is not null").select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(own), "doc_id").select("domain", "text")  # SAMPLE rows of an id and a name
-    found = arrow_map(texts, _count_batches(domains), "domain int, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = arrow_map(texts, _count_batches(domains), "domain int, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     counts, rows = np.zeros((DIMS, len(domains))), np.zeros(len(domains))
     grams = found[found["bucket"] >= 0]
     counts[grams["bucket"], grams["domain"]] = grams["n"]
@@ -115,23 +115,29 @@ def tempered(totals: np.ndarray) -> np.ndarray:
 def fit_rates(soft: DataFrame, k: int, targets=tempered) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
     """(steps, targets, reached totals) for soft(n_tokens, posterior); targets: the natural totals to the wanted ones.
 
-    Steps are scaled by the inverse of the Gram matrix of the posteriors, which is
-    the exact step where nothing is clipped.
+    Steps are scaled by the inverse of the Gram matrix of the posteriors of rows that
+    aren't clipped, which is the exact step until another row is.
     """
     q = [F.element_at("posterior", i + 1) for i in range(k)]
     if not k:
         return [], np.zeros(0), np.zeros(0)
-    gram = soft.agg(*[F.coalesce(F.sum(F.col("n_tokens") * q[i] * q[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
-    g = np.array(gram, float).reshape(k, k)
-    totals = g.sum(1)  # posteriors add up to one
+
+    def sums(steps):
+        """Totals at these rates, and the Gram matrix of the rows whose rate isn't clipped: K + K x K sums in one aggregation."""
+        rows = soft.withColumn("r", rate(steps))
+        free = F.when(F.col("r") > 0, F.col("n_tokens")).otherwise(0)
+        cols = [F.sum(F.col("r") * F.col("n_tokens") * x) for x in q] + [F.sum(free * x * y) for x in q for y in q]
+        got = np.array(rows.agg(*[F.coalesce(c, F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(cols)]).first(), float)
+        return got[:k], got[k:].reshape(k, k)
+
+    steps: list[list[float]] = []
+    totals, gram = sums(steps)
     wanted = np.asarray(targets(totals), float)
-    inverse, steps, scale = np.linalg.pinv(g), [], max(wanted.max(initial=0.0), 1e-300)
     for _ in range(ROUNDS):
-        if np.abs(wanted - totals).max() <= TOLERANCE * scale:
+        if np.abs(wanted - totals).max() <= TOLERANCE * max(wanted.max(), 1e-300):
             break
-        steps.append((inverse @ (wanted - totals)).tolist())
-        weighed = soft.withColumn("r", rate(steps) * F.col("n_tokens"))
-        totals = np.array(weighed.agg(*[F.coalesce(F.sum(F.col("r") * x), F.lit(0.0)) for x in q]).first(), float)
+        steps.append((np.linalg.pinv(gram) @ (wanted - totals)).tolist())
+        totals, gram = sums(steps)
     return steps, wanted, totals
 
 
