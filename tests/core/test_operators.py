@@ -161,3 +161,20 @@ def test_readers(spark, tmp_path):
     (tmp_path / "c.conll").write_text("1\tA\t2\n2\tb\t0\n\n1\tC\t0\n")
     c = corpora.conll(corpora.whole_files(spark, str(tmp_path), "*.conll"), ("id", "form", "head"))
     assert [(r["sentence"], r["tok_id"], r["form"]) for r in c.orderBy("sentence", "tok_id").collect()] == [(0, 1, "A"), (0, 2, "b"), (1, 1, "C")]
+
+
+def test_row_rules():
+    from brevis.functions import rows
+    from brevis.operators import ordering
+
+    assert rows.glue_quotes(['He said "yes.', 'And no."', "Then left."]) == ['He said "yes. And no."', "Then left."]
+    assert rows.glue_quotes(['An "open one.', "Next."]) == ['An "open one.', "Next."]
+    assert rows.keep_sentences(["By Jane Doe.", "It rained all day.", "By Monday it stopped.", "ALL CAPS HERE.", "no end", "Call 555-1234 now."]) == ["It rained all day.", "By Monday it stopped."]
+    toks = rows.treebank_tokens('They\'ll say "hello, world" (twice).')
+    assert toks == ["They", "'ll", "say", "``", "hello", ",", "world", "''", "(", "twice", ")", "."]
+    assert rows.detokenize(toks) == 'They\'ll say "hello, world" (twice).'
+    assert rows.string_similarity("abc", "abc") == 1.0 and rows.string_similarity("ab", "cd") == 0
+    codes = rows.huffman_codes({"a": 5, "b": 2, "c": 1})
+    assert len(codes["a"]) == 1 and len(codes["b"]) == len(codes["c"]) == 2
+    assert [rows.syllables(w) for w in ("make", "table", "banana", "")] == [1, 2, 3, 0]
+    assert sorted(ordering.dendrogram_order([{"a"}, {"b"}, {"a", "b"}], {("a", "b"): 2.0}, {"a"})) == [0, 1, 2]
