@@ -89,7 +89,8 @@ class Graph:
     def __init__(self, x: np.ndarray, seed: int = 5):
         rng = np.random.default_rng(seed)
         level = np.minimum((-np.log(1 - rng.random(len(x))) / np.log(RATIO)).astype(int), 6)
-        order = np.argsort(-level, kind="stable")
+        mixed = rng.permutation(len(x))  # neighbours in the table may be copies of each other: a batch shouldn't be made of them
+        order = mixed[np.argsort(-level[mixed], kind="stable")]
         self.x, self.links = x[order], []
         self.order = order
         self.sizes = [int((level >= lo).sum()) for lo in range(int(level.max(initial=0)) + 1)]
