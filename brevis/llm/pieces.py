@@ -281,7 +281,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     space. A null id is a key like any other, so rows that share an id and a text
     are segmented alike. Other columns are ignored; an empty table gives an empty one.
     """
-    return arrow_map(docs.select("doc_id", F.col("text").cast("binary").alias("text")), _encode_batches(model), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, n_pieces long, lossless boolean", 1500)
+    return arrow_map(docs.select("doc_id", F.col("text").cast("binary").alias("text")), _encode_batches(model), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, n_pieces long, lossless boolean", 700)
 
 
 def _decode_batches(name: str):
