@@ -2,7 +2,11 @@
 
 A unit is a line, cut further after sentence ends, so that a passage pasted into
 the middle of a paragraph still has units of its own; a unit without such an end
-is cut at content-defined places once it is long. Units are normalised (lower
+is cut at content-defined places once it is long. Beside these, winnowed runs of
+GRAM words are units, whatever lines and sentences they cross: of WINDOW runs that
+start at neighbouring words, one of the least hash is taken, so that any passage of
+GRAM + WINDOW - 1 = 35 words that two places share has a whole unit in common.
+Units are normalised (lower
 case, words only) and grouped by a 128-bit digest over the whole table. The
 earliest occurrence stays, by document id and then by place; every later one is
 reported as a span of code points of the text as it was.
@@ -13,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,12 +29,24 @@ from .common import arrow_map, written
 MIN_WORDS = 8
 #: A unit of more words is cut after each word whose hash is 0 modulo CUT, once it has MIN_WORDS.
 LONG_WORDS, CUT = 40, 16
+#: Words of a winnowed unit (a power of two), and the starts among which one is taken.
+GRAM, WINDOW = 16, 20
 _END = re.compile(r"[.!?]+(?=\s)|\n|\Z")
 _WORD = re.compile(r"\w+")
 
 
 def units(text: str) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units with MIN_WORDS words or more, in order."""
+    """(start, end, digest) of the units with MIN_WORDS words or more: lines and their parts in order, then the winnowed ones that aren't such a part."""
+    out = _parts(text)
+    own = {(a, z) for a, z, _ in out}
+    return out + [u for u in _winnowed(text) if u[:2] not in own]
+
+
+def _digest(words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace"))
+
+
+def _parts(text: str) -> list[tuple[int, int, bytes]]:
     out = []
     at, n = 0, len(text)
     for m in _END.finditer(text):
@@ -40,7 +57,7 @@ def units(text: str) -> list[tuple[int, int, bytes]]:
             out += _cut(text, at, end)
         elif len(words) >= MIN_WORDS:
             start = at + len(piece) - len(piece.lstrip())
-            out.append((start, end, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace"))))
+            out.append((start, end, _digest(words)))
         at = m.end()
         if at >= n:
             break
@@ -57,11 +74,37 @@ def _cut(text: str, at: int, end: int) -> list[tuple[int, int, bytes]]:
         last = i + 1 == len(found)
         if last or len(own) >= MIN_WORDS and xxhash.xxh32_intdigest(word.encode("utf-8", "replace")) % CUT == 0:
             if len(own) >= MIN_WORDS:
-                out.append((start, end if last else m.end(), xxhash.xxh3_128_digest(" ".join(own).encode("utf-8", "replace"))))
+                out.append((start, end if last else m.end(), _digest(own)))
             own, start = [], None
     return out
 
 
+def _winnowed(text: str) -> list[tuple[int, int, bytes]]:
+    found = list(_WORD.finditer(text))
+    if len(found) < GRAM + WINDOW - 1:
+        return []
+    words = [m.group().lower() for m in found]
+    g = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+    width = 1
+    while width < GRAM:  # from here on g[i] stands for twice as many words from the i-th on
+        g = (g[:-width] * np.uint64(0x9E3779B97F4A7C15)) ^ (g[:-width] >> np.uint64(29)) ^ (g[width:] * np.uint64(0xC2B2AE3D27D4EB4F))
+        width *= 2
+    last = WINDOW - 1 - np.lib.stride_tricks.sliding_window_view(g, WINDOW)[:, ::-1].argmin(1)
+    at = np.unique(last + np.arange(len(last)))
+    return [(found[i].start(), found[i + GRAM - 1].end(), _digest(words[i : i + GRAM])) for i in _thinned(at.tolist(), g[at].tolist())]
+
+
+def _thinned(at: list[int], value: list[int]) -> list[int]:
+    """at without places between two of equal value that are at most WINDOW apart: every window keeps one of its least."""
+    out, kept = [], None
+    for i, p in enumerate(at):
+        if i + 1 < len(at) and kept == value[i] == value[i + 1] and at[i + 1] - out[-1] <= WINDOW:
+            continue
+        out.append(p)
+        kept = value[i]
+    return out
+
+
 def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         row, start, end, digest = [], [], [], []
@@ -79,7 +122,8 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     """The units to remove from docs(doc_id, text): doc_id, start, end (code points, end exclusive), first_doc_id, first_start, digest.
 
     Occurrences rank by doc_id (null last), then by start, then by the row's place in
-    the table, so that of a repeated row one stays. Null, empty and unit-less texts
+    the table, so that of a repeated row one stays; one that overlaps the first in the
+    same row isn't a repeat. Null, empty and unit-less texts
     give no rows; other columns are ignored; an empty table gives an empty one. The
     grouping combines before the shuffle, and the join back has one row per digest on
     one side, so that a unit which a third of the documents share can be split.
@@ -87,9 +131,11 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     found = written(arrow_map(rows, _unit_batches, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, start int, end int, digest binary"), "units")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "start", "row")
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    later = found.join(first, "digest").filter(place != F.col("first"))
-    return later.select("doc_id", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), F.lower(F.hex("digest")).alias("digest"))
+    ranked = F.struct(place.alias("place"), "end")
+    first = found.groupBy("digest").agg(F.min(ranked).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    overlaps = (F.col("row") == F.col("first.place.row")) & (F.col("start") < F.col("first.end"))
+    later = found.join(first, "digest").filter((place != F.col("first.place")) & ~overlaps)
+    return later.select("doc_id", "start", "end", F.col("first.place.doc_id").alias("first_doc_id"), F.col("first.place.start").alias("first_start"), F.lower(F.hex("digest")).alias("digest"))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
