@@ -4,8 +4,9 @@ The base kinds are matched with expressions that never backtrack over a run twic
 (possessive, and anchored to the start of a run), so very long tokens stay linear.
 Places come from the pieces between the matches: their lengths, summed.
 
-Bootstrapping: every token with a digit or an @ is an instance, the words beside
-it are its lexical patterns. Tokens inside base spans are seeds of their kind. In
+Bootstrapping: every token with a digit or an @, and every run of such tokens with
+only space between, is an instance; the words beside it are its lexical patterns, a
+side without a word has none. Those inside base spans are seeds of their kind. In
 each round a pattern's score for a kind is the mean score of its distinct
 instances, and an instance's score is that some accepted pattern is right about it;
 seeds keep score one. Tokens outside the base spans that end with a high score are
@@ -98,20 +99,44 @@ def _word(piece: Column, last: bool) -> Column:
 
 
 def _with_tokens(df: DataFrame) -> DataFrame:
-    """df(text, base) with tokens: instances with their place, patterns and seed kind (-1 for none)."""
+    """df(text, base) with tokens: instances with their place, patterns and seed kind (-1 for none).
+
+    An instance is a run of neighbouring tokens of one base span, or of none. The tokens
+    of a longer run outside the base spans follow on their own, without patterns, since
+    one of them may be known from elsewhere.
+    """
     gate = F.col("text").rlike("[0-9@]")
     df = _located(df, "t", TOKEN, gate)
-    seed = lambda a, b: F.coalesce(F.get(F.filter("base", lambda x: (x["start"] < b) & (a < x["end"])), F.lit(0))["k"], F.lit(-1))
-    token = F.transform("t_m", lambda m, i: F.struct(
+    span = lambda a, b: F.get(F.filter("base", lambda x: (x["start"] < b) & (a < x["end"])), F.lit(0))
+    single = F.transform("t_m", lambda m, i: F.struct(
         F.get("t_s", i).alias("start"), (F.get("t_s", i) + F.length(m)).alias("end"), F.lower(F.btrim(m, F.lit(".,;:!?()[]\"'"))).alias("instance"),
-        _word(F.get("t_p", i), True).alias("left"), _word(F.get("t_p", i + 1), False).alias("right"), seed(F.get("t_s", i), F.get("t_s", i) + F.length(m)).alias("seed")))
-    return df.withColumn("tokens", token).drop("t_m", "t_p", "t_s")
+        _word(F.get("t_p", i), True).alias("left"), _word(F.get("t_p", i + 1), False).alias("right"), span(F.get("t_s", i), F.get("t_s", i) + F.length(m)).alias("span")))
+    df = df.withColumn("_t", single).drop("t_m", "t_p", "t_s")
+    # a token goes on with the one before it if only space is between them and both are in one base span, or neither in any
+    same = lambda a, b: (a["right"] == "") & a["span"].eqNullSafe(b["span"])
+    df = df.withColumn("_on", F.transform("_t", lambda t, i: (i > 0) & F.coalesce(same(F.get("_t", i - 1), t), F.lit(False))))
+    df = df.withColumn("_a", F.filter(F.transform("_on", lambda on, i: F.when(~on, i)), lambda i: i.isNotNull()))
+    side = lambda word, i: F.when((word != "") | (i < 0), word).otherwise(F.coalesce(F.get("_t", i)["instance"], F.lit("")))
+    seed = lambda t: F.coalesce(t["span"]["k"], F.lit(-1)).alias("seed")
+
+    def run(a, z):
+        first, last = F.get("_t", a), F.get("_t", z)
+        return F.struct(
+            first["start"].alias("start"), last["end"].alias("end"), F.array_join(F.transform(F.slice("_t", a + 1, z - a + 1), lambda t: t["instance"]), " ").alias("instance"),
+            side(first["left"], a - 1).alias("left"), side(last["right"], z + 1).alias("right"), seed(first))
+
+    runs = F.transform("_a", lambda a, i: run(a, F.coalesce(F.get("_a", i + 1), F.size("_t")) - 1))
+    inner = F.filter("_t", lambda t, i: t["span"].isNull() & (F.get("_on", i) | F.coalesce(F.get("_on", i + 1), F.lit(False))))
+    inner = F.transform(inner, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["instance"].alias("instance"), F.lit("").alias("left"), F.lit("").alias("right"), seed(t)))
+    return df.withColumn("tokens", F.concat(runs, inner)).drop("_t", "_on", "_a")
 
 
 def discovered(tokens: DataFrame) -> DataFrame:
     """(instance, k, score) of unseen instances, from tokens(instance, left, right, seed); iterated scoring of the pattern-instance graph."""
-    pattern = F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right"), F.concat(F.lit("B "), "left", F.lit(" "), "right")))
-    graph = written(tokens.filter("left <> '' and right <> '' and instance <> ''").select("instance", "seed", pattern.alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
+    left, right = F.col("left") != "", F.col("right") != ""
+    sides = F.when(left, F.concat(F.lit("L "), "left")), F.when(right, F.concat(F.lit("R "), "right")), F.when(left & right, F.concat(F.lit("B "), "left", F.lit(" "), "right"))
+    pattern = F.explode(F.array_compact(F.array(*sides)))
+    graph = written(tokens.filter("instance <> ''").select("instance", "seed", pattern.alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
     sizes = graph.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
     scored = graph.filter("seed >= 0").select("instance", F.col("seed").alias("k"), F.lit(1.0).alias("score")).distinct()
     seeds, found = scored, None
