@@ -188,12 +188,19 @@ def decision_tree_quality(spark, d):
     return p.fit(r).transform(r).select("doc_id", "label", F.col("prediction").cast("int").alias("predicted"))
 
 
-@query(None)
-def topics_lda(spark, d):
+def topic_model(spark, d, first: int | None = None):
+    """LDA over the words of all documents in all languages; first: only so many sentences of each."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
-    words = sentences(topics(spark, d).filter("lang = 'en'")).filter("ord < 20").groupBy("doc_id").agg(F.flatten(F.collect_list(F.array_distinct(T.without_stopwords(F.col("tok"), T.stopwords())))).alias("words"))
-    counts = CountVectorizer(inputCol="words", outputCol="features", minDF=2.0, vocabSize=5000).fit(words).transform(words)
+    sents = sentences(topics(spark, d))
+    sents = sents if first is None else sents.filter(F.col("ord") < first)
+    words = sents.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array_distinct(T.without_stopwords(F.col("tok"), T.stopwords())))).alias("words"))
+    counts = CountVectorizer(inputCol="words", outputCol="features", minDF=2.0, vocabSize=2**31 - 1).fit(words).transform(words)
     model = LDA(k=5, maxIter=5, seed=1).fit(counts)
-    return model.describeTopics(8).select("topic", "termIndices", "termWeights")
+    return model.describeTopics(8).select("topic", "termIndices", "termWeights"), model.vocabSize()
+
+
+@query(None)
+def topics_lda(spark, d):
+    return topic_model(spark, d)[0]
