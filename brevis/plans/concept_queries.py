@@ -208,24 +208,30 @@ def _selected(spark, d, docset, method, **kw):
     return S.select(c, C.incidence(c, w), w, method, **kw), s
 
 
+def _selected_of_both(spark, d, method, **kw):
+    """The selections of all topics, each docset under its own rules."""
+    a, b = (_selected(spark, d, docset, method, **kw)[0] for docset in ("A", "B"))
+    return a.unionByName(b)
+
+
 @query(None)
 def select_greedy(spark, d):
-    return _selected(spark, d, "A", "greedy")[0]
+    return _selected_of_both(spark, d, "greedy")
 
 
 @query(None)
 def select_exact(spark, d):
-    return _selected(spark, d, "A", "exact", seconds=5.0)[0]
+    return _selected_of_both(spark, d, "exact", seconds=5.0)
 
 
 @query(None)
 def select_nbest(spark, d):
-    return _selected(spark, d, "A", "exact", n=2, seconds=3.0)[0]
+    return _selected_of_both(spark, d, "exact", n=2, seconds=3.0)
 
 
 @query(None)
 def select_swap(spark, d):
-    return _selected(spark, d, "A", "swap")[0]
+    return _selected_of_both(spark, d, "swap")
 
 
 def summaries(spark: SparkSession, d: str, docset: str = "A", method: str = "greedy") -> DataFrame:
@@ -237,4 +243,5 @@ def summaries(spark: SparkSession, d: str, docset: str = "A", method: str = "gre
 
 @query(None)
 def summarize(spark, d):
-    return summaries(spark, d)
+    """Summaries of both docsets, each under its own rules."""
+    return summaries(spark, d, "A").unionByName(summaries(spark, d, "B"))

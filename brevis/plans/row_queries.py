@@ -32,5 +32,5 @@ def expand_topics(spark, d):
 
 @query(None)
 def select_pairwise(spark, d):
-    s = overlapped(spark, d, "A").filter("length between 5 and 40 and overlap > 0")
+    s = overlapped(spark, d).filter("length between 5 and 40 and overlap > 0")
     return ordering.select_pairwise(s.withColumn("relevance", F.col("overlap") / F.col("length") + F.when(F.col("ord") == 0, 1).otherwise(0)))
