@@ -2,8 +2,8 @@
 
 Equal vectors are one class. Classes are dealt to shards by a hash; each shard's
 graph is built once and written. Every class queries every shard, in blocks of
-queries. A task audits its recall against brute force on some of its queries and
-widens its beam until the audit passes, the last widening being the whole shard.
+queries. A task audits its recall against brute force on some of its queries that have
+links, query by query, and widens its beam until the audit passes, the last widening being the whole shard.
 Links are verified by cosine in double precision where single precision could err.
 A task hands on a number of links per query and a spanning forest of what it linked.
 """
@@ -26,7 +26,8 @@ LEAST = 0.9
 #: Shards: as many for small tables, and so many that a graph has at most this many vectors on average.
 SHARDS, SHARD_SIZE, BLOCK_SIZE = 8, 200_000, 50_000
 BEAM, SLACK = 16, 0.04
-AUDIT, RECALL = 256, 0.995
+#: Queries of an audit, which all have links; draws to find them; the mean recall of a query asked for in every degree class.
+AUDIT, DRAWS, RECALL = 256, 4096, 0.995
 #: Similarities this near to LEAST are computed again in double precision.
 NEAR = 1e-4
 
@@ -71,16 +72,59 @@ def _brute(x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def search(g: Graph, q: np.ndarray, least: float, beam: int = BEAM, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of at least `least`; the beam grows until the audited queries miss at most 1 - RECALL of their pairs.
+def _per_query(who: np.ndarray, node: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Hits per query without the query itself, own being its node or -1."""
+    return np.bincount(who[node != own[who]], minlength=len(own))
+
+
+def _audit(g: Graph, q: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, their own nodes, their true links) for an audit: drawn ones that have links besides themselves, and where those are few, nodes moved until they are just `least` and a little more from where they were."""
+    rng = np.random.default_rng(len(q))
+    drawn, queries, owns, links = rng.permutation(len(q))[:DRAWS], [], [], []
+    for lo in range(0, len(drawn), AUDIT):
+        at = drawn[lo : lo + AUDIT]
+        who, node, _ = _brute(g.x, q[at], least)
+        n = _per_query(who, node, own[at])
+        queries.append(q[at[n > 0]])
+        owns.append(own[at[n > 0]])
+        links.append(n[n > 0])
+        if sum(map(len, links)) >= AUDIT:
+            break
+    short = AUDIT - sum(map(len, links))
+    if short > 0:
+        x = g.x[rng.integers(0, len(g.x), short)].astype(np.float64)
+        aside = rng.normal(size=x.shape)
+        aside -= (aside * x).sum(1, keepdims=True) * x
+        length = np.sqrt((aside * aside).sum(1, keepdims=True))
+        near = min(1.0, least + 0.2 * (1 - least))
+        moved = np.where(length > 1e-9, near * x + np.sqrt(1 - near * near) * aside / np.maximum(length, 1e-9), x).astype(np.float32)
+        who, node, _ = _brute(g.x, moved, least)
+        queries.append(moved)
+        owns.append(np.full(short, -1))
+        links.append(_per_query(who, node, owns[-1]))
+    return np.concatenate(queries), np.concatenate(owns), np.concatenate(links)
+
+
+def _passes(found: np.ndarray, truth: np.ndarray) -> bool:
+    """Whether the mean recall of a query is enough in each class of degrees (1 to 3, 4 to 15, and so on): a dense group can't hide the links of small ones."""
+    degree = np.floor(np.log2(np.maximum(truth, 1)) / 2).astype(int)
+    share = found / np.maximum(truth, 1)
+    return all(share[degree == k].mean() >= RECALL for k in np.unique(degree))
+
+
+def search(g: Graph, q: np.ndarray, least: float, beam: int = BEAM, slack: float = SLACK, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of at least `least`; the beam grows until the audited queries find RECALL of their links, whether these are few or many.
 
     A beam that would look at a quarter of the shard is widened to all of it at once: that is cheaper, and exact.
+    own: each query's own node, or -1.
     """
-    step = max(1, len(q) // AUDIT)
-    audited = np.arange(0, len(q), step)
-    truth = len(_brute(g.x, q[audited], least)[0])
+    own = np.full(len(q), -1) if own is None else own
+    if 4 * LOWER * beam > len(g.x):
+        return _brute(g.x, q, least)
+    audited, owns, truth = _audit(g, q, own, least)
     while True:
-        if len(g.within(q[audited], least, beam, slack)[0]) >= RECALL * truth:
+        who, node, _ = g.within(audited, least, beam, slack)
+        if _passes(_per_query(who, node, owns), truth):
             return g.within(q, least, beam, slack)
         beam, slack = 4 * beam, 2 * slack
         if 4 * LOWER * beam > len(g.x):
@@ -94,7 +138,8 @@ def _query(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     queries = queries.sort_values("cls")
     own, q = _unit(queries["embedding"])
     ids = queries["cls"].to_numpy()
-    who, node, sim = search(g, q, LEAST - NEAR)
+    place = pd.Series(np.arange(len(cls)), index=cls).reindex(ids).fillna(-1).to_numpy(np.int64)
+    who, node, sim = search(g, q, LEAST - NEAR, own=place)
     close = np.flatnonzero(np.abs(sim - LEAST) <= NEAR)
     ok = sim >= LEAST
     for lo in range(0, len(close), 100_000):
