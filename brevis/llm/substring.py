@@ -1,12 +1,10 @@
-"""Substring dedup by hashing lines, and the sentences within them.
-
-A unit is a line, cut further after sentence ends, so that a passage pasted into
-the middle of a paragraph still has units of its own; a unit without such an end
-is cut at content-defined places once it is long. Beside these, winnowed runs of
-GRAM words are units, whatever lines and sentences they cross: of WINDOW runs that
-start at neighbouring words, one of the least hash is taken, so that any passage of
-GRAM + WINDOW - 1 = 35 words that two places share has a whole unit in common.
-Units are normalised (lower
+"""Substring dedup by hashing paragraphs, or lines, and winnowed runs of words.
+
+A unit is a paragraph (a run of lines that aren't blank) or, on request, a line, of
+any length that has a word. Beside these, winnowed runs of GRAM words are units,
+whatever lines and sentences they cross: of WINDOW runs that start at neighbouring
+words, one of the least hash is taken, so that any passage of GRAM + WINDOW - 1 = 35
+words that two places share has a whole unit in common. Units are normalised (lower
 case, words only) and grouped by a 128-bit digest over the whole table. The
 earliest occurrence stays, by document id and then by place; every later one is
 reported as a span of code points of the text as it was.
@@ -23,60 +21,49 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, written
+from .common import arrow_map, met, written
 
-#: Units of fewer words repeat by chance and stay.
-MIN_WORDS = 8
-#: A unit of more words is cut after each word whose hash is 0 modulo CUT, once it has MIN_WORDS.
-LONG_WORDS, CUT = 40, 16
 #: Words of a winnowed unit (a power of two), and the starts among which one is taken.
 GRAM, WINDOW = 16, 20
-_END = re.compile(r"[.!?]+(?=\s)|\n|\Z")
+UNITS = ("paragraph", "line")
 _WORD = re.compile(r"\w+")
 
 
-def units(text: str) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units with MIN_WORDS words or more: lines and their parts in order, then the winnowed ones that aren't such a part."""
-    out = _parts(text)
+def units(text: str, unit: str = "paragraph") -> list[tuple[int, int, bytes]]:
+    """(start, end, digest) of the paragraphs or lines that have a word, in order, without the white space around them, then of the winnowed runs that aren't one of them."""
+    out = _whole(text, unit)
     own = {(a, z) for a, z, _ in out}
     return out + [u for u in _winnowed(text) if u[:2] not in own]
 
 
-def _digest(words: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace"))
-
-
-def _parts(text: str) -> list[tuple[int, int, bytes]]:
+def _blocks(text: str, unit: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the lines, or of the runs of lines that aren't blank."""
+    at, start, last = 0, None, 0
+    for line in text.split("\n"):
+        end = at + len(line)
+        if unit == "line":
+            yield at, end
+        elif line.strip():
+            start, last = at if start is None else start, end
+        elif start is not None:
+            yield start, last
+            start = None
+        at = end + 1
+    if start is not None:
+        yield start, last
+
+
+def _whole(text: str, unit: str) -> list[tuple[int, int, bytes]]:
     out = []
-    at, n = 0, len(text)
-    for m in _END.finditer(text):
-        end = m.start() if m.group() == "\n" else m.end()
-        piece = text[at:end]
-        words = _WORD.findall(piece.lower())
-        if len(words) > LONG_WORDS:
-            out += _cut(text, at, end)
-        elif len(words) >= MIN_WORDS:
-            start = at + len(piece) - len(piece.lstrip())
-            out.append((start, end, _digest(words)))
-        at = m.end()
-        if at >= n:
-            break
+    for a, z in _blocks(text, unit):
+        piece = text[a:z]
+        if words := _WORD.findall(piece.lower()):
+            out.append((z - len(piece.lstrip()), a + len(piece.rstrip()), _digest(words)))
     return out
 
 
-def _cut(text: str, at: int, end: int) -> list[tuple[int, int, bytes]]:
-    out, own, start = [], [], None
-    found = list(_WORD.finditer(text, at, end))
-    for i, m in enumerate(found):
-        start = m.start() if start is None else start
-        word = m.group().lower()
-        own.append(word)
-        last = i + 1 == len(found)
-        if last or len(own) >= MIN_WORDS and xxhash.xxh32_intdigest(word.encode("utf-8", "replace")) % CUT == 0:
-            if len(own) >= MIN_WORDS:
-                out.append((start, end if last else m.end(), _digest(own)))
-            own, start = [], None
-    return out
+def _digest(words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace"))
 
 
 def _winnowed(text: str) -> list[tuple[int, int, bytes]]:
@@ -105,37 +92,44 @@ def _thinned(at: list[int], value: list[int]) -> list[int]:
     return out
 
 
-def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        row, start, end, digest = [], [], [], []
-        for r, text in enumerate(b.column("text").to_pylist()):
-            for a, z, d in units(text) if text else ():
-                row.append(r)
-                start.append(a)
-                end.append(z)
-                digest.append(d)
-        row = pa.array(row, pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("row").take(row), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(digest, pa.binary())], names=["doc_id", "row", "start", "end", "digest"])
-
-
-def repeated_units(docs: DataFrame) -> DataFrame:
+def _unit_batches(unit: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, start, end, digest = [], [], [], []
+            for r, text in enumerate(b.column("text").to_pylist()):
+                for a, z, d in units(text, unit) if text else ():
+                    row.append(r)
+                    start.append(a)
+                    end.append(z)
+                    digest.append(d)
+            row = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("row").take(row), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(digest, pa.binary())], names=["doc_id", "row", "start", "end", "digest"])
+
+    return run
+
+
+def _later(rows: DataFrame, unit: str) -> DataFrame:
+    """rows(doc_id, row, text) -> every unit to remove: doc_id, row, start, end, first_doc_id, first_start, digest."""
+    found = written(arrow_map(rows.select("doc_id", "row", "text"), _unit_batches(unit), f"doc_id {dict(rows.dtypes)['doc_id']}, row long, start int, end int, digest binary"), "units")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "start", "row")
+    first = found.groupBy("digest").agg(F.min(F.struct(place.alias("place"), "end")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    overlaps = (F.col("row") == F.col("first.place.row")) & (F.col("start") < F.col("first.end"))
+    later = met(found, written(first, "first"), "digest", total=found.count()).filter((place != F.col("first.place")) & ~overlaps)
+    return later.select("doc_id", "row", "start", "end", F.col("first.place.doc_id").alias("first_doc_id"), F.col("first.place.start").alias("first_start"), F.lower(F.hex("digest")).alias("digest"))
+
+
+def repeated_units(docs: DataFrame, unit: str = "paragraph") -> DataFrame:
     """The units to remove from docs(doc_id, text): doc_id, start, end (code points, end exclusive), first_doc_id, first_start, digest.
 
     Occurrences rank by doc_id (null last), then by start, then by the row's place in
     the table, so that of a repeated row one stays; one that overlaps the first in the
     same row isn't a repeat. Null, empty and unit-less texts
-    give no rows; other columns are ignored; an empty table gives an empty one. The
-    grouping combines before the shuffle, and the join back has one row per digest on
-    one side, so that a unit which a third of the documents share can be split.
+    give no rows; a very long text is one row of work, linear in its length; other
+    columns are ignored, whatever their names; an empty table gives an empty one. The
+    grouping combines before the shuffle. In the join back, the occurrences of a unit
+    that has over a thousandth of all of them stay where they are.
     """
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    found = written(arrow_map(rows, _unit_batches, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, start int, end int, digest binary"), "units")
-    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "start", "row")
-    ranked = F.struct(place.alias("place"), "end")
-    first = found.groupBy("digest").agg(F.min(ranked).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    overlaps = (F.col("row") == F.col("first.place.row")) & (F.col("start") < F.col("first.end"))
-    later = found.join(first, "digest").filter((place != F.col("first.place")) & ~overlaps)
-    return later.select("doc_id", "start", "end", F.col("first.place.doc_id").alias("first_doc_id"), F.col("first.place.start").alias("first_start"), F.lower(F.hex("digest")).alias("digest"))
+    return _later(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), unit).drop("row")
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -153,11 +147,15 @@ def _remove_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
+def remove_repeated(docs: DataFrame, unit: str = "paragraph") -> DataFrame:
     """(doc_id, text) of every row of docs, with the repeated units taken out.
 
-    An id is a document: rows that share one lose each span reported for it.
+    A row loses the spans that were reported for it, and no other row's, even where
+    ids repeat or are null: of rows with one id and one text, the first keeps it and
+    the others end up without its units. Null texts stay null, texts without a
+    repeated unit stay as they are to the byte, an empty table gives an empty one, and
+    other columns are ignored.
     """
-    per = repeated_units(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    joined = docs.select("doc_id", "text").join(per, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "spans")
-    return arrow_map(joined, _remove_batches, f"doc_id {dict(docs.dtypes)['doc_id']}, text string")
+    rows = written(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), "rows")
+    per = _later(rows, unit).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    return arrow_map(rows.join(per, "row", "left").select("doc_id", "text", "spans"), _remove_batches, f"doc_id {dict(docs.dtypes)['doc_id']}, text string")
