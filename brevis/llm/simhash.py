@@ -1,18 +1,21 @@
 """SimHash near-duplicates, found through an inverted index on byte positions with count filtering.
 
 Two 64-bit fingerprints with at most three differing bits share at least five of
-their eight bytes at the same position. An index on single bytes has postings of
-n/256 rows each, whose pairs grow with the square of n, so a posting is kept for
-four positions together. The fourteen blocks of the Steiner system S(3,4,8), the
-quadruples of 0..7 with XOR zero, hold every triple of positions, and the
-complement of a block is a block: wherever the three differing bytes lie, some
-block is shared whole. Within a posting the shared positional bytes of each pair
-are tallied, pairs below five are dropped, and the rest are verified by counting
-differing bits. Only a spanning forest of a posting's links leaves the task.
+their eight bytes at the same position: five is the guaranteed minimum of matches.
+An index on single bytes has postings of n/256 rows each, whose pairs grow with the
+square of n, so a posting is kept for four positions together. The fourteen blocks
+of the Steiner system S(3,4,8), the quadruples of 0..7 with XOR zero, hold every
+triple of positions, and the complement of a block is a block: wherever the three
+differing bytes lie, some block is shared whole. A posting is posted again, within
+its task, under each of its other four bytes. Two members that meet in none of
+these have a tally of four and are never compared; those that meet in k of them
+have a tally of 4 + k, reach the minimum, and are verified by counting differing
+bits. Only a spanning forest of a posting's links leaves the task.
 
 A posting with more than HOT members is not held in memory: its members stream
-out and are posted again under five positions, where 24 bits remain, so that a
-posting has 2**24 members at most and links are found through a table of those bits.
+out and are posted again under five positions by a shuffle. There 24 bits remain, so
+that a posting has 2**24 members at most, and links are found through a table of
+those bits. Both ways compare the same pairs.
 """
 
 from __future__ import annotations
@@ -26,13 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW_ROWS, arrow_map, written
+from .common import NARROW_ROWS, arrow_map, met, written
 from .graph import components
 
 SEED = 42
 WORDS = 3
 MAX_BITS = 3
-MIN_SHARED = 8 - MAX_BITS
 #: Postings up to this size are compared pair by pair.
 HOT = 2048
 BLOCKS = [b for b in combinations(range(8), 4) if b[0] ^ b[1] ^ b[2] ^ b[3] == 0]
@@ -93,22 +95,24 @@ def link(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = nxt
 
 
-def _tally(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs share enough positional bytes and then differ in few enough bits."""
-    x = fp[i] ^ fp[j]
-    shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-    return (shared >= MIN_SHARED) & (np.bitwise_count(x) <= MAX_BITS)
-
-
 def _pairwise(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """Labels after linking the close pairs of every run of equal keys."""
-    labels, i, d = np.arange(len(key)), np.arange(len(key) - 1), 1
-    while i.size:
-        i = i[i + d < len(key)]
-        i = i[key[i] == key[i + d]]
-        ok = _tally(fp, i, i + d)
-        link(labels, i[ok], i[ok] + d)
-        d += 1
+    """Labels after linking the close pairs of every run of equal keys, met through postings on a further byte."""
+    labels, bytes_ = np.arange(len(key)), fp.view(np.uint8).reshape(-1, 8)
+    block = np.array(BLOCKS)[key >> 40]  # the positions that a run shares already
+    for p in range(8):
+        own = np.flatnonzero((block != p).all(1))
+        if own.size < 2:
+            continue
+        posting = key[own] * 256 + bytes_[own, p]  # keys take 44 bits
+        order = np.argsort(posting, kind="stable")
+        own, posting = own[order], posting[order]
+        i, d = np.arange(len(own) - 1), 1
+        while i.size:
+            i = i[i + d < len(own)]
+            i = i[posting[i] == posting[i + d]]
+            ok = np.bitwise_count(fp[own[i]] ^ fp[own[i + d]]) <= MAX_BITS
+            link(labels, own[i[ok]], own[i[ok] + d])
+            d += 1
     return labels
 
 
@@ -133,19 +137,19 @@ def _postings(hot: int | None):
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(np.full(len(u), is_hot))], names=["u", "v", "hot"])
 
     def closed(key, fp):
-        if len(key) > 4 * HOT and hot is None:
+        if len(key) > HOT and hot is None:
             cuts = np.flatnonzero(np.diff(key)) + 1
             runs = zip([0, *cuts], [*cuts, len(key)], strict=True)
         else:
             runs = [(0, len(key))]
         for a, b in runs:
-            labels = _by_table(int(key[a]), fp[a:b]) if hot is None and b - a > HOT and key[a] == key[b - 1] else _pairwise(key[a:b], fp[a:b])
+            labels = _by_table(int(key[a]), fp[a:b]) if hot is None else _pairwise(key[a:b], fp[a:b])
             child = np.flatnonzero(labels != np.arange(b - a))
             if child.size:
                 yield out(fp[a:b][child], fp[a:b][labels[child]], False)
 
     def run(batches):
-        key, fp, streaming = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        held, streaming = [], None  # the rows of the last key so far, as they came
         for batch in batches:
             k, f = np.array(batch.column("key")), np.array(batch.column("fp")).view(np.uint64)
             if streaming is not None:
@@ -156,22 +160,27 @@ def _postings(hot: int | None):
                 if not k.size:
                     continue
                 streaming = None
-            key, fp = np.concatenate([key, k]), np.concatenate([fp, f])
-            last = int(np.searchsorted(key, key[-1], side="left"))
-            if hot is not None:
-                for a, b in _large(key[:last], hot):
-                    yield out(fp[a:b], key[a:b], True)
-                small = _small(key[:last], hot)
-                yield from closed(key[:last][small], fp[:last][small])
+            if held and k[-1] == held[0][0][-1]:
+                held.append((k, f))
             else:
-                yield from closed(key[:last], fp[:last])
-            key, fp = key[last:], fp[last:]
-            if hot is not None and len(key) > hot:
-                streaming = key[-1]
-                yield out(fp, key, True)
-                key, fp = key[:0], fp[:0]
-        if key.size:
-            yield from closed(key, fp)
+                key, fp = (np.concatenate(c) for c in zip(*held, (k, f), strict=True))
+                last = int(np.searchsorted(key, key[-1], side="left"))
+                if last:
+                    if hot is not None:
+                        for a, b in _large(key[:last], hot):
+                            yield out(fp[a:b], key[a:b], True)
+                        small = _small(key[:last], hot)
+                        yield from closed(key[:last][small], fp[:last][small])
+                    else:
+                        yield from closed(key[:last], fp[:last])
+                held = [(key[last:], fp[last:])]
+            if hot is not None and sum(len(x) for x, _ in held) > hot:
+                streaming = held[0][0][-1]
+                for x, y in held:
+                    yield out(y, x, True)
+                held = []
+        if held:
+            yield from closed(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return run
 
@@ -210,21 +219,39 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     component of such rows only has a null id); repeated rows come out as often as
     they came in; other columns are ignored; an empty table gives an empty one.
     Rows with equal fingerprints meet in a grouping that combines before the
-    shuffle, so copies cost one posting however many there are.
+    shuffle, so copies cost one posting however many there are, and the rows of a
+    fingerprint or component that is hot stay where they are in the joins back.
     """
-    marked = written(fingerprints(docs), "fingerprints")
-    fps = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    return _grouped(written(fingerprints(docs), "fingerprints"), hot)
+
+
+def _grouped(marked: DataFrame, hot: int = HOT) -> DataFrame:
+    """marked(fp, doc_id, ...) with component_id and root."""
+    fps = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    fps = written(fps, "distinct")
     roots = components(links(fps.select("fp"), hot))
-    rooted = written(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.join(ids, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+    rooted = written(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("n").alias("rows")), "roots")
+    ids = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "ids")
+    named = written(met(rooted, ids, "root").select("fp", "component_id", "root", F.col("rows").alias("n")), "named")
+    return met(marked, named, "fp").select(*marked.columns, "component_id", "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the smallest id (rows without one come last), then the smallest text hash."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash"))
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best["_id"]) & (keyed["_text_hash"] == best["_hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    """docs with one row of each component: the smallest id (rows without one come last), then the smallest text hash, then the smallest hash of the other columns.
+
+    Rows with null, empty or blank text are one component, of which one row stays.
+    Of rows that are equal in every column one stays. No column is added or lost,
+    whatever the names; an empty table gives an empty one.
+    """
+    columns = docs.columns
+    packed = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in columns]).alias("whole")), "packed")
+    rest = [F.col("whole").getField(c).alias(f"c{i}") for i, c in enumerate(columns) if c not in ("doc_id", "text")]
+    other = F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0)
+    order = F.struct(F.col("whole.doc_id").isNull().alias("late"), F.col("whole.doc_id").alias("doc_id"), F.xxhash64("whole.text").alias("text_hash"), other.alias("other"), "row").alias("place")
+    marked = written(arrow_map(packed.select("row", F.col("whole.doc_id").alias("doc_id"), order, F.col("whole.text").cast("binary").alias("text")), _hash_batches, f"row long, doc_id {dict(docs.dtypes)['doc_id']}, place {_type(packed.select(order))}, fp long"), "fingerprints")
+    best = _grouped(marked).groupBy("root").agg(F.min("place").alias("best")).select(F.col("best.row").alias("row"))
+    return packed.join(best, "row", "left_semi").select([F.col("whole").getField(c).alias(c) for c in columns])
+
+
+def _type(one: DataFrame) -> str:
+    return one.dtypes[0][1]
