@@ -5,7 +5,10 @@ graph is built once and written. Every class queries every shard, in blocks of
 queries. A task audits its recall against brute force on some of its queries that have
 links, query by query, and widens its beam until the audit passes, the last widening being the whole shard.
 Links are verified by cosine in double precision where single precision could err.
-A task hands on a number of links per query and a spanning forest of what it linked.
+A task folds the pairs of a chunk of queries at once into the number of links per
+query and per node and into a spanning forest of what it linked, so that a group of
+near copies costs its members, not its pairs. A vector's links are those it found or
+those that found it, whichever are more: the two differ only where a beam missed one.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import met, written
 from .graph import components
 from .hnsw import LOWER, Graph
 from .simhash import link
@@ -25,6 +28,8 @@ from .simhash import link
 LEAST = 0.9
 #: Shards: as many for small tables, and so many that a graph has at most this many vectors on average.
 SHARDS, SHARD_SIZE, BLOCK_SIZE = 8, 200_000, 50_000
+#: Bytes of a shard's vectors in double precision, which keeps a packed graph under 1 GB; queries and similarities that are folded at once.
+SHARD_BYTES, CHUNK, CELLS = 600 << 20, 2048, 8_000_000
 BEAM, SLACK = 16, 0.04
 #: Queries of an audit, which all have links; draws to find them; the mean recall of a query asked for in every degree class.
 AUDIT, DRAWS, RECALL = 256, 4096, 0.995
@@ -64,12 +69,10 @@ def _load(blob: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _brute(x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    out = []
-    for lo in range(0, len(q), max(1, 20_000_000 // len(x))):
-        s = q[lo : lo + max(1, 20_000_000 // len(x))] @ x.T
-        a, b = np.nonzero(s >= least)
-        out.append((a + lo, b, s[a, b]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    """Pairs of at least `least`, for as many queries as a caller can hold the pairs of."""
+    s = q @ x.T
+    a, b = np.nonzero(s >= least)
+    return a, b, s[a, b]
 
 
 def _per_query(who: np.ndarray, node: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -77,14 +80,22 @@ def _per_query(who: np.ndarray, node: np.ndarray, own: np.ndarray) -> np.ndarray
     return np.bincount(who[node != own[who]], minlength=len(own))
 
 
+def _degrees(x: np.ndarray, q: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
+    """True links per query."""
+    size, out = max(1, CELLS // len(x)), [np.empty(0, np.int64)]
+    for lo in range(0, len(q), size):
+        who, node, _ = _brute(x, q[lo : lo + size], least)
+        out.append(_per_query(who, node, own[lo : lo + size]))
+    return np.concatenate(out)
+
+
 def _audit(g: Graph, q: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(queries, their own nodes, their true links) for an audit: drawn ones that have links besides themselves, and where those are few, nodes moved until they are just `least` and a little more from where they were."""
     rng = np.random.default_rng(len(q))
     drawn, queries, owns, links = rng.permutation(len(q))[:DRAWS], [], [], []
     for lo in range(0, len(drawn), AUDIT):
         at = drawn[lo : lo + AUDIT]
-        who, node, _ = _brute(g.x, q[at], least)
-        n = _per_query(who, node, own[at])
+        n = _degrees(g.x, q[at], own[at], least)
         queries.append(q[at[n > 0]])
         owns.append(own[at[n > 0]])
         links.append(n[n > 0])
@@ -98,10 +109,9 @@ def _audit(g: Graph, q: np.ndarray, own: np.ndarray, least: float) -> tuple[np.n
         length = np.sqrt((aside * aside).sum(1, keepdims=True))
         near = min(1.0, least + 0.2 * (1 - least))
         moved = np.where(length > 1e-9, near * x + np.sqrt(1 - near * near) * aside / np.maximum(length, 1e-9), x).astype(np.float32)
-        who, node, _ = _brute(g.x, moved, least)
         queries.append(moved)
         owns.append(np.full(short, -1))
-        links.append(_per_query(who, node, owns[-1]))
+        links.append(_degrees(g.x, moved, owns[-1], least))
     return np.concatenate(queries), np.concatenate(owns), np.concatenate(links)
 
 
@@ -112,48 +122,65 @@ def _passes(found: np.ndarray, truth: np.ndarray) -> bool:
     return all(share[degree == k].mean() >= RECALL for k in np.unique(degree))
 
 
-def search(g: Graph, q: np.ndarray, least: float, beam: int = BEAM, slack: float = SLACK, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of at least `least`; the beam grows until the audited queries find RECALL of their links, whether these are few or many.
+def widen(g: Graph, q: np.ndarray, least: float, beam: int = BEAM, slack: float = SLACK, own: np.ndarray | None = None) -> tuple[int, float] | None:
+    """The beam and slack with which audited queries find RECALL of their links, whether these are few or many; None for the whole shard.
 
-    A beam that would look at a quarter of the shard is widened to all of it at once: that is cheaper, and exact.
-    own: each query's own node, or -1.
+    A beam that would look at a quarter of the shard is widened to all of it at once:
+    that is exact, and costs no more, a query times the shard instead of a query
+    times its neighbourhoods.
     """
     own = np.full(len(q), -1) if own is None else own
     if 4 * LOWER * beam > len(g.x):
-        return _brute(g.x, q, least)
+        return None
     audited, owns, truth = _audit(g, q, own, least)
     while True:
-        who, node, _ = g.within(audited, least, beam, slack)
-        if _passes(_per_query(who, node, owns), truth):
-            return g.within(q, least, beam, slack)
+        found, size = [], max(1, min(CHUNK, CELLS // len(g.x)))
+        for lo in range(0, len(audited), size):
+            who, node, _ = g.within(audited[lo : lo + size], least, beam, slack)
+            found.append(_per_query(who, node, owns[lo : lo + size]))
+        if _passes(np.concatenate(found), truth):
+            return beam, slack
         beam, slack = 4 * beam, 2 * slack
         if 4 * LOWER * beam > len(g.x):
-            return _brute(g.x, q, least)
+            return None
+
+
+def search(g: Graph, q: np.ndarray, least: float, beam: int = BEAM, slack: float = SLACK, own: np.ndarray | None = None):
+    """Yields (first query, pairs of at least `least`) by chunks of queries."""
+    wide = widen(g, q, least, beam, slack, own)
+    size = max(1, min(CHUNK, CELLS // len(g.x)))  # in the worst case every pair of a chunk is a hit
+    for lo in range(0, len(q), size):
+        part = q[lo : lo + size]
+        yield lo, _brute(g.x, part, least) if wide is None else g.within(part, least, *wide)
 
 
 def _query(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    """Rows (u, v, n, by): a tree's edge (n null), or the links that u found (by false) or that found u (by true)."""
     if graphs.empty or queries.empty:
-        return pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="Int64"), "n": pd.Series(dtype="int64")})
+        return pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="Int64"), "n": pd.Series(dtype="Int64"), "by": pd.Series(dtype="bool")})
     g, exact, cls, m = _load(graphs["graph"].iloc[0])
     queries = queries.sort_values("cls")
     own, q = _unit(queries["embedding"])
-    ids = queries["cls"].to_numpy()
+    ids, weight = queries["cls"].to_numpy(), queries["m"].to_numpy()
     place = pd.Series(np.arange(len(cls)), index=cls).reindex(ids).fillna(-1).to_numpy(np.int64)
-    who, node, sim = search(g, q, LEAST - NEAR, own=place)
-    close = np.flatnonzero(np.abs(sim - LEAST) <= NEAR)
-    ok = sim >= LEAST
-    for lo in range(0, len(close), 100_000):
-        c = close[lo : lo + 100_000]
-        ok[c] = np.einsum("kd,kd->k", own[who[c]], exact[node[c]]) >= LEAST
-    ok &= ids[who] != cls[node]
-    who, node = who[ok], node[ok]
-    n = np.bincount(who, weights=m[node], minlength=len(ids)).astype(np.int64)
-    both, at = np.unique(np.concatenate([ids[who], cls[node]]), return_inverse=True)
-    labels = np.arange(len(both))
-    link(labels, at[: len(who)], at[len(who) :])
-    child = np.flatnonzero(labels != np.arange(len(both)))
-    found = np.flatnonzero(n)
-    return pd.DataFrame({"u": np.concatenate([ids[found], both[child]]), "v": pd.array([*[None] * len(found), *both[labels[child]]], dtype="Int64"), "n": np.concatenate([n[found], np.zeros(len(child), np.int64)])})
+    both = np.unique(np.concatenate([ids, cls]))
+    of_query, of_node, labels = np.searchsorted(both, ids), np.searchsorted(both, cls), np.arange(len(both))
+    out, back = np.zeros(len(ids), np.int64), np.zeros(len(cls), np.int64)
+    for lo, (who, node, sim) in search(g, q, LEAST - NEAR, own=place):
+        who = who + lo
+        close = np.flatnonzero(np.abs(sim - LEAST) <= NEAR)
+        ok = sim >= LEAST
+        for a in range(0, len(close), 100_000):
+            c = close[a : a + 100_000]
+            ok[c] = np.einsum("kd,kd->k", own[who[c]], exact[node[c]]) >= LEAST
+        ok &= ids[who] != cls[node]
+        who, node = who[ok], node[ok]
+        out += np.bincount(who, weights=m[node], minlength=len(ids)).astype(np.int64)
+        back += np.bincount(node, weights=weight[who], minlength=len(cls)).astype(np.int64)
+        link(labels, of_query[who], of_node[node])
+    child, f, r = np.flatnonzero(labels != np.arange(len(both))), np.flatnonzero(out), np.flatnonzero(back)
+    none = [None] * (len(f) + len(r))
+    return pd.DataFrame({"u": np.concatenate([both[child], ids[f], cls[r]]), "v": pd.array([*both[labels[child]], *none], dtype="Int64"), "n": pd.array([*[None] * len(child), *out[f], *back[r]], dtype="Int64"), "by": np.repeat([False, False, True], [len(child), len(f), len(r)])})
 
 
 def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
@@ -168,20 +195,22 @@ def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = written(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.when(finite, F.col("embedding")).alias("embedding")), "vectors")
     classes = written(rows.filter("embedding is not null").groupBy("embedding").agg(F.min("row").alias("cls"), F.count("*").alias("m"), F.min("vec_id").alias("least")).withColumn("dim", F.size("embedding")), "classes")
-    total = classes.count()
-    shards, blocks = max(SHARDS, -(-total // SHARD_SIZE)), max(1, -(-total // BLOCK_SIZE))
+    total, dim = classes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    shards, blocks = max(SHARDS, -(-total // min(SHARD_SIZE, max(1, SHARD_BYTES // (8 * dim))))), max(1, -(-total // BLOCK_SIZE))
     dealt = classes.select("dim", F.pmod(F.xxhash64("cls"), F.lit(shards)).cast("int").alias("shard"), "cls", "m", "embedding")
     graphs = written(dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, graph binary"), "graphs")
     per_block = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(shards * blocks, "dim", "shard", "block").groupBy("dim", "shard", "block")
-    asked = classes.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "cls", "embedding").repartition(shards * blocks, "dim", "shard", "block").groupBy("dim", "shard", "block")
-    found = written(per_block.cogroup(asked).applyInPandas(_query, "u long, v long, n long"), "links")
-    counts = found.filter("v is null").groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("n"))
+    asked = classes.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "cls", "m", "embedding").repartition(shards * blocks, "dim", "shard", "block").groupBy("dim", "shard", "block")
+    found = written(per_block.cogroup(asked).applyInPandas(_query, "u long, v long, n long, by boolean"), "links")
+    counts = found.filter("v is null").groupBy(F.col("u").alias("cls")).agg(F.greatest(F.sum(F.when(F.col("by"), 0).otherwise(F.col("n"))), F.sum(F.when(F.col("by"), F.col("n")).otherwise(0))).alias("n"))
     roots = components(found.filter("v is not null").select("u", "v")).select(F.col("node").alias("cls"), "root")
     rooted = classes.select("cls", "m", "least").join(counts, "cls", "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    rooted = written(rooted, "rooted")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(ids, "root").select("cls", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
-    member = rows.join(classes.select("embedding", "cls"), "embedding", "left").select("vec_id", "cls", F.col("embedding").isNull().alias("alone"))
-    out = member.join(of_class, "cls", "left")
+    rooted = written(rooted.withColumnRenamed("n", "links"), "rooted")
+    ids = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "ids")
+    of_class = met(rooted, ids, "root").select("cls", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id", F.col("m").alias("n"))
+    known = written(of_class.join(classes.select("cls", "embedding"), "cls"), "known")
+    none = F.lit(None).cast("long")
+    out = met(rows, known, "embedding").select("vec_id", "n_links", "component_id", F.lit(False).alias("alone"))
+    out = out.unionByName(rows.filter("embedding is null").select("vec_id", none.alias("n_links"), none.alias("component_id"), F.lit(True).alias("alone")))
     component = F.when(F.col("alone"), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
