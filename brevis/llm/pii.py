@@ -32,6 +32,8 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+"
 #: A pattern counts with this many distinct instances and this score; an instance is added from this score.
 SUPPORT, PATTERN_SCORE, INSTANCE_SCORE, ROUNDS = 5, 0.8, 0.8, 3
 BLOCK = 64
+#: Code points of a block of text.
+PART = 2048
 
 
 def _luhn(digits: Column) -> Column:
@@ -90,7 +92,21 @@ def with_base_spans(df: DataFrame) -> DataFrame:
     """df(text, not null) with base: the base spans by start and kind."""
     for kind in KINDS:
         df = _located(df, kind, PATTERNS[kind], _gate(kind)).withColumn(f"{kind}_v", _spans(kind)).drop(f"{kind}_m", f"{kind}_p", f"{kind}_s")
-    return df.withColumn("base", F.sort_array(F.concat(*[f"{k}_v" for k in KINDS]))).drop(*[f"{k}_v" for k in KINDS])
+    return df.withColumn("base", F.sort_array(F.concat(*[f"{k}_v" for k in KINDS])))
+
+
+def _over(kind: str, a: Column, b: Column) -> Column:
+    """The first span of a kind that overlaps a..b, or null, by halving: spans of one kind are in order and don't overlap."""
+    v = f"{kind}_v"
+    steps = F.slice(F.sequence(F.lit(0), F.ceil(F.log2(F.size(v) + F.lit(1))).cast("int")), 1, F.ceil(F.log2(F.size(v) + F.lit(1))).cast("int"))
+    half = lambda x: F.floor((x["lo"] + x["hi"]) / 2).cast("int")
+
+    def step(x, _):
+        ends_after = F.get(v, half(x))["end"] > a
+        return F.when(x["lo"] >= x["hi"], x).otherwise(F.struct(F.when(ends_after, x["lo"]).otherwise(half(x) + 1).alias("lo"), F.when(ends_after, half(x)).otherwise(x["hi"]).alias("hi")))
+
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(v).alias("hi")), step, lambda x: F.get(v, x["lo"]))
+    return F.when(F.size(v) > 0, F.filter(F.array(found), lambda x: x["start"] < b)).otherwise(F.array().cast("array<struct<start:int,k:int,end:int>>"))
 
 
 def _word(piece: Column, last: bool) -> Column:
@@ -107,7 +123,7 @@ def _with_tokens(df: DataFrame) -> DataFrame:
     """
     gate = F.col("text").rlike("[0-9@]")
     df = _located(df, "t", TOKEN, gate)
-    span = lambda a, b: F.get(F.filter("base", lambda x: (x["start"] < b) & (a < x["end"])), F.lit(0))
+    span = lambda a, b: F.array_min(F.concat(*[_over(k, a, b) for k in KINDS]))
     single = F.transform("t_m", lambda m, i: F.struct(
         F.get("t_s", i).alias("start"), (F.get("t_s", i) + F.length(m)).alias("end"), F.lower(F.btrim(m, F.lit(".,;:!?()[]\"'"))).alias("instance"),
         _word(F.get("t_p", i), True).alias("left"), _word(F.get("t_p", i + 1), False).alias("right"), span(F.get("t_s", i), F.get("t_s", i) + F.length(m)).alias("span")))
@@ -151,7 +167,7 @@ def discovered(tokens: DataFrame) -> DataFrame:
 
 def _narrow(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    return written(_with_tokens(with_base_spans(texts)).drop("text"), "personal")
+    return written(_with_tokens(with_base_spans(texts)).drop("text", *[f"{k}_v" for k in KINDS]), "personal")
 
 
 def _more(narrow: DataFrame) -> DataFrame:
@@ -194,24 +210,36 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of its texts replaced by its kind in angle brackets, and n_chars, where there is one, made to fit.
 
-    Overlapping spans become one, named after the first. Rows, and texts without spans, stay as they are.
+    Overlapping spans become one, named after the first. Null texts, texts without spans,
+    and all other columns stay as they are, whatever their names; repeated rows come out
+    as often as they came in; an empty table gives an empty one. The work on a text is
+    linear in its length and its spans: ends are carried on and text is cut by blocks.
     """
     more = _more(_narrow(docs))
     packed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("whole"))
-    rows = _with_more(with_base_spans(packed), more).withColumn("all", F.sort_array(F.concat("base", "more")))
-    none = F.array().cast("array<struct<start:int,k:int,end:int>>")
-
-    def merge(done, x):
-        last = F.get(done, F.size(done) - 1)
-        grown = F.struct(last["start"].alias("start"), last["k"].alias("k"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (x["start"] < last["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(x)))
+    rows = _with_more(with_base_spans(packed).drop(*[f"{k}_v" for k in KINDS]), more).withColumn("all", F.sort_array(F.concat("base", "more")))
+    n = F.size("all")
+    # the largest end so far, by blocks
+    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.array_max(F.transform(F.slice("all", b * BLOCK + 1, BLOCK), lambda x: x["end"])))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("block_end", blocks)
+    rows = rows.withColumn("before", F.transform("block_end", lambda x, i: F.when(i > 0, F.array_max(F.slice("block_end", 1, i))).otherwise(F.lit(0))))
+    at = lambda i: F.floor(i / BLOCK).cast("int")
+    # as above, `before` is named twice so that it isn't computed again per span
+    rows = rows.withColumn("reach", F.transform("all", lambda x, i: F.greatest(F.when(F.size("before") > 0, F.get("before", at(i))), F.array_max(F.transform(F.slice("all", at(i) * BLOCK + 1, i % BLOCK + 1), lambda y: y["end"])))))
+    rows = rows.withColumn("first", F.filter(F.transform("all", lambda x, i: F.when((i == 0) | (x["start"] >= F.get("reach", i - 1)), i)), lambda i: i.isNotNull()))
+    rows = rows.withColumn("cut", F.transform("first", lambda f, i: F.struct(F.get("all", f)["start"].alias("start"), F.get("all", f)["k"].alias("k"), F.get("reach", F.coalesce(F.get("first", i + 1), F.size("reach")) - 1).alias("end"))))
+    # pieces of the text come from blocks of it, since to count code points from the start for each of many spans isn't linear
+    rows = rows.withColumn("part", F.when(F.size("cut") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))).otherwise(F.array().cast("array<string>")))
+
+    def piece(a, b):
+        whole = F.array_join(F.slice("part", F.floor(a / PART).cast("int") + 1, F.floor(b / PART).cast("int") - F.floor(a / PART).cast("int") + 1), "")
+        return F.substring(whole, a % PART + 1, b - a)
 
-    rows = rows.withColumn("cut", F.aggregate("all", none, merge))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in ALL_KINDS])
-    before = lambda x, i: F.when(i > 0, F.get("cut", i - 1)["end"]).otherwise(F.lit(0))
-    body = F.array_join(F.transform("cut", lambda x, i: F.concat(F.substring(F.col("text"), before(x, i) + 1, x["start"] - before(x, i)), F.get(names, x["k"]))), "")
+    before = lambda i: F.when(i > 0, F.get("cut", i - 1)["end"]).otherwise(F.lit(0))
+    body = F.array_join(F.transform("cut", lambda x, i: F.concat(piece(before(i), x["start"]), F.get(names, x["k"]))), "")
     end = F.get("cut", F.size("cut") - 1)["end"]
-    new = F.when(F.size("cut") > 0, F.concat(body, F.substring(F.col("text"), end + 1, F.length("text")))).otherwise(F.col("whole")["text"])
+    new = F.when(F.size("cut") > 0, F.concat(body, piece(end, F.length("text")))).otherwise(F.col("whole")["text"])
     rows = rows.select("whole", new.alias("new"), F.size("cut").alias("n"))
     out = []
     for c in docs.columns:
