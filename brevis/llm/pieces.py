@@ -16,7 +16,9 @@ U+2581, which would otherwise read as a space: decoding gives back the bytes.
 from __future__ import annotations
 
 import importlib
+import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -39,6 +41,8 @@ SHIFT, POWER = 2.7, 1.0
 BYTES = 1e-5
 #: Words of more characters are filtered one by one.
 LONG = 48
+#: Characters of a long word that are looked up at once; bytes of the texts that share a lattice.
+BLOCK, TOGETHER = 1 << 16, 1 << 20
 BASE = np.uint64(0x100000001B3)
 POWERS = [np.uint64(pow(0x100000001B3, k, 2**64)) for k in range(64)]
 #: Longer pieces are looked for only where the last TAIL characters end one.
@@ -98,6 +102,8 @@ class Vocabulary:
         self.slots = _slots({_hash(p): i for p, i in self.ids.items()})
         self.tails = _slots({_hash(p[-TAIL:]): 0 for p in self.ids if len(p) > TAIL})
         self.of_byte = np.array(self.byte_ids, np.int32)
+        self.tail_set = {p[-TAIL:] for p in self.ids if len(p) > TAIL}
+        self.weights = self.weight.tolist()
 
     def decode(self, ids) -> bytes:
         """The text's bytes; the leading space that encoding adds is taken off again."""
@@ -148,10 +154,7 @@ class Lattices:
         self.base = np.concatenate([[0], np.cumsum(held[1 : top + 1])])  # of layer p at p - 1
         rows = int(self.base[-1])
         self.cum, self.ids = np.zeros((rows, w), np.float32), np.zeros((rows, w), np.int32)
-        long = int((sizes > LONG).sum())
-        for r in range(long):
-            self._one(v, words[order[r]], r)
-        short = [words[i] for i in order[long:]]
+        long, short = 0, [words[i] for i in order]
         if not short:
             return
         chars = np.array(short, dtype=f"U{max(1, int(sizes[long]))}").view(np.uint32).reshape(len(short), -1).T.astype(np.uint64)
@@ -190,24 +193,75 @@ class Lattices:
             cum[:, len(parts) - 1 :] = 1.0
             forward.append(total)
 
-    def _one(self, v: Vocabulary, word: str, r: int) -> None:
-        forward = [1.0]
-        for p in range(1, len(word) + 1):
-            row, total, parts = int(self.base[p - 1]) + r, 0.0, []
+
+class LongWord:
+    """A word of any length, filtered forward in log space: one number per character is held.
+
+    The pieces that end at a place are looked up by blocks of BLOCK characters on the
+    way forward, and one place at a time on the way back.
+    """
+
+    def __init__(self, vocab: Vocabulary, word: str):
+        self.v, self.word = vocab, word
+        self.log = array("d", [0.0])
+        log, weight, lone = self.log, vocab.weight, math.log(BYTES)
+        for lo in range(0, len(word), BLOCK):
+            place, size, piece = self._ends(lo, min(len(word), lo + BLOCK))
+            at, n, wants = 0, len(place), weight[piece].tolist()
+            for p in range(lo + 1, min(len(word), lo + BLOCK) + 1):
+                last, total = log[p - 1], 0.0
+                while at < n and place[at] == p:
+                    total += wants[at] * math.exp(log[p - size[at]] - last)
+                    at += 1
+                log.append(last + (math.log(total) if total else lone))
+
+    def _ends(self, lo: int, hi: int) -> tuple[list[int], list[int], np.ndarray]:
+        """(place, size, id) of the pieces that end at lo + 1 .. hi, by place and size."""
+        v, back = self.v, max(0, lo - self.v.longest + 1)
+        chars = np.frombuffer(self.word[back:hi].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        h, own, places, sizes, ids = np.zeros(len(chars) + 1, np.uint64), None, [], [], []
+        for k in range(1, min(v.longest, len(chars)) + 1):
+            h = h[:-1] * BASE + chars[k - 1 :]  # h[i] is of the k characters from i on
+            at = np.arange(len(h)) if k <= TAIL or own is None else own[own >= 0]
+            at = at[at + k + back > lo] if k <= TAIL else at
+            got = _look_up(v.slots, h[at], k)
+            hit = got >= 0
+            places.append(at[hit] + k + back)
+            sizes.append(np.full(int(hit.sum()), k))
+            ids.append(got[hit])
+            if k == TAIL:  # longer pieces are looked for only where their last characters end one
+                own = np.arange(len(h))[_look_up(v.tails, h, k) >= 0]
+            if k >= TAIL:
+                own = own - 1
+        place, size, piece = (np.concatenate(x) for x in (places, sizes, ids))
+        keep = place > lo
+        place, size, piece = place[keep], size[keep], piece[keep]
+        order = np.lexsort((size, place))
+        return place[order].tolist(), size[order].tolist(), piece[order]
+
+    def sample(self, counter: np.uint64) -> np.ndarray:
+        """Ids of one segmentation, drawn backwards."""
+        v, word, log, out, p, draws, step = self.v, self.word, self.log, array("i"), len(self.word), None, 0
+        while p > 0:
+            if step % BLOCK == 0:
+                draws = _mix(counter + np.arange(step, step + BLOCK).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)).tolist()
+            found, total = [], 0.0
             for k in range(1, min(p, v.longest) + 1):
+                if k == TAIL + 1 and word[p - TAIL : p] not in v.tail_set:
+                    break
                 i = v.ids.get(word[p - k : p], -1)
-                total += forward[p - k] * v.weight[i] if i >= 0 else 0.0
-                self.ids[row, k - 1] = i
-                parts.append(total)
-            if total == 0:
-                total = forward[p - 1] * BYTES
-                parts = [total]
-                self.ids[row, 0] = -1 - ord(word[p - 1])
-            self.cum[row, : len(parts)] = [x / total for x in parts]
-            self.cum[row, len(parts) - 1 :] = 1.0
-            forward.append(total)
-            if total < 1e-100:  # only ratios matter, and only to the places that a piece can still start from
-                forward[-v.longest :] = [x / total for x in forward[-v.longest :]]
+                if i >= 0:
+                    total += v.weights[i] * math.exp(log[p - k] - log[p - 1])
+                    found.append((total, k, i))
+            if found:
+                want = draws[step % BLOCK] * total
+                _, k, i = next((x for x in found if x[0] > want), found[-1])
+            else:
+                k, i = 1, -1 - ord(word[p - 1])
+            out.append(i)
+            p -= k
+            step += 1
+        return np.array(out, np.int32)[::-1]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -226,14 +280,18 @@ def encode(texts: list[bytes], seeds: list[int], vocab: Vocabulary) -> list[np.n
     """Piece ids of each text."""
     own = [WORD.findall(" " + t.decode("utf-8", "surrogateescape")) for t in texts]
     words = list(dict.fromkeys(chain.from_iterable(own)))
+    words.sort(key=lambda w: len(w) > LONG)  # the short ones first
+    short = sum(len(w) <= LONG for w in words)
     number = {w: i for i, w in enumerate(words)}
-    lattices, per = Lattices(vocab, words), np.array([len(o) for o in own], np.int64)
+    lattices, per = Lattices(vocab, words[:short]), np.array([len(o) for o in own], np.int64)
     which = np.fromiter(map(number.__getitem__, chain.from_iterable(own)), np.int64, int(per.sum()))
-    place = np.array([len(w) for w in words], np.int64)[which]
-    rank = lattices.rank[which]
+    place = np.array([len(w) if len(w) <= LONG else 0 for w in words], np.int64)[which]
+    rank = np.append(lattices.rank, np.zeros(len(words) - short, np.int64))[which]
     at = np.arange(len(which)) - np.repeat(np.cumsum(per) - per, per)  # of the word in its text
     counter = np.repeat(np.array(seeds, np.uint64), per) + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    live, steps = np.arange(len(which)), []
+    long = np.flatnonzero(which >= short)
+    spelt = _long_words(vocab, words, which[long], counter[long])
+    live, steps = np.flatnonzero(which < short), []
     while live.size:
         row = lattices.base[place[live] - 1] + rank[live]
         draw = _mix(counter[live] + np.uint64(len(steps) * 0xD1B54A32D192ED03 % 2**64)).astype(np.float32)
@@ -244,16 +302,31 @@ def encode(texts: list[bytes], seeds: list[int], vocab: Vocabulary) -> list[np.n
     sizes = np.zeros(len(which), np.int64)
     for who, _ in steps:
         sizes[who] += 1
+    sizes[long] = [len(x) for x in spelt]
     ends = np.cumsum(sizes)
     out = np.empty(int(sizes.sum()), np.int32)
     for k, (who, got) in enumerate(steps):
         out[ends[who] - 1 - k] = got
+    for i, ids in zip(long.tolist(), spelt, strict=True):
+        out[ends[i] - len(ids) : ends[i]] = ids
     plain = (out < 0) & (out >= -128)
     out[plain] = vocab.of_byte[-1 - out[plain]]
     cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per)])]
     return [_with_bytes(out[a:b], vocab) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _long_words(vocab: Vocabulary, words: list[str], which: np.ndarray, counter: np.ndarray) -> list[np.ndarray]:
+    """Segmentations of occurrences of long words; each word is filtered once, and only one is held at a time."""
+    out: list = [None] * len(which)
+    order = np.argsort(which, kind="stable")
+    held = None
+    for i in order.tolist():
+        if held is None or held[0] != which[i]:
+            held = (which[i], LongWord(vocab, words[which[i]]))
+        out[i] = held[1].sample(counter[i])
+    return out
+
+
 def _with_bytes(ids: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     if not (ids < 0).any():
         return ids
@@ -261,12 +334,26 @@ def _with_bytes(ids: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     return np.array([i for p in spelt for i in p], np.int32)
 
 
+def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Cuts rows into runs of at most TOGETHER bytes, or of one row."""
+    lo, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > lo and total + n > TOGETHER:
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 def _encode_batches(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_path(name))
         for b in batches:
             keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            got = encode([t or b"" for t in texts], [seed_of(k) for k in keys], vocab)
+            got = []
+            for lo, hi in _runs([len(t or b"") for t in texts]):
+                got += encode([t or b"" for t in texts[lo:hi]], [seed_of(k) for k in keys[lo:hi]], vocab)
             rows = [None if t is None else ids for t, ids in zip(texts, got, strict=True)]
             same = [None if ids is None else vocab.decode(ids.tolist()) == t for t, ids in zip(texts, rows, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), pa.array([None if r is None else len(r) for r in rows], pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_pieces", "lossless"])
@@ -295,6 +382,11 @@ def _decode_batches(name: str):
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """encoded(doc_id, ids) -> (doc_id, text); null ids give a null text."""
+    """encoded(doc_id, ids) -> (doc_id, text).
+
+    Null ids give a null text, the ids of an empty text an empty one. Bytes that aren't
+    UTF-8 come back as they were. Repeated rows come out as often as they came in; other
+    columns are ignored; an empty table gives an empty one.
+    """
     rows = arrow_map(encoded.select("doc_id", "ids"), _decode_batches(model), f"doc_id {dict(encoded.dtypes)['doc_id']}, text binary")
     return rows.withColumn("text", F.col("text").cast("string"))
