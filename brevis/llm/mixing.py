@@ -28,7 +28,7 @@ SAMPLE = 20_000
 #: Production targets: a domain's share of tokens to this power, so that small domains gain.
 TEMPERATURE = 0.7
 EVIDENCE = 200
-ROUNDS, TOLERANCE = 40, 1e-9
+PATIENCE, TOLERANCE = 10, 1e-9
 
 
 @dataclass
@@ -116,7 +116,9 @@ def fit_rates(soft: DataFrame, k: int, targets=tempered) -> tuple[list[list[floa
     """(steps, targets, reached totals) for soft(n_tokens, posterior); targets: the natural totals to the wanted ones.
 
     Steps are scaled by the inverse of the Gram matrix of the posteriors of rows that
-    aren't clipped, which is the exact step until another row is.
+    aren't clipped, which is the exact step until another row is. They go on until the
+    targets are met, or, where no rates meet them, until PATIENCE steps brought nothing;
+    the best steps are returned, and what they miss can be read from the totals.
     """
     q = [F.element_at("posterior", i + 1) for i in range(k)]
     if not k:
@@ -133,16 +135,21 @@ def fit_rates(soft: DataFrame, k: int, targets=tempered) -> tuple[list[list[floa
     steps: list[list[float]] = []
     totals, gram = sums(steps)
     wanted = np.asarray(targets(totals), float)
-    for _ in range(ROUNDS):
-        if np.abs(wanted - totals).max() <= TOLERANCE * max(wanted.max(), 1e-300):
-            break
+    best = (np.abs(wanted - totals).max(), 0, totals)
+    while best[0] > TOLERANCE * max(wanted.max(), 1e-300) and len(steps) - best[1] < PATIENCE:
         steps.append((np.linalg.pinv(gram) @ (wanted - totals)).tolist())
         totals, gram = sums(steps)
-    return steps, wanted, totals
+        best = min(best, (np.abs(wanted - totals).max(), len(steps), totals), key=lambda x: x[0])
+    return steps[: best[1]], wanted, best[2]
+
+
+def residual(wanted: np.ndarray, reached: np.ndarray) -> float:
+    """The largest miss of a domain's total, as a share of the largest target."""
+    return float(np.abs(wanted - reached).max() / max(wanted.max(), 1e-300)) if wanted.size else 0.0
 
 
 def document_rates(docs: DataFrame, labelled: DataFrame, targets=tempered) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_tokens, posterior map<domain, double>, rate double.
+    """Per row of docs(doc_id, text): doc_id, n_tokens, posterior map<domain, double>, rate double, residual double (of the whole fit).
 
     A null or blank text has no tokens, the prior as its posterior, and a rate like
     any other's; with nothing labelled there is no domain and every rate is 1. Null
@@ -152,10 +159,10 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets=tempered) -> Da
     model = learn(docs, labelled)
     if not model.domains:
         tokens = F.when(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0, F.size(F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+"))).otherwise(0)
-        return docs.select("doc_id", tokens.cast("long").alias("n_tokens"), F.create_map().cast("map<string,double>").alias("posterior"), F.lit(1.0).alias("rate"))
+        return docs.select("doc_id", tokens.cast("long").alias("n_tokens"), F.create_map().cast("map<string,double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(0.0).alias("residual"))
     soft = written(posteriors(docs, model), "posteriors")
-    steps, _, _ = fit_rates(soft, len(model.domains), targets)
-    return soft.withColumn("rate", rate(steps)).select("doc_id", "n_tokens", F.map_from_arrays(F.array(*map(F.lit, model.domains)), F.col("posterior")).alias("posterior"), "rate")
+    steps, wanted, reached = fit_rates(soft, len(model.domains), targets)
+    return soft.withColumn("rate", rate(steps)).select("doc_id", "n_tokens", F.map_from_arrays(F.array(*map(F.lit, model.domains)), F.col("posterior")).alias("posterior"), "rate", F.lit(residual(wanted, reached)).alias("residual"))
 
 
 def _mix_batches(shared, steps: list[list[float]]):
@@ -178,7 +185,12 @@ def _mix_batches(shared, steps: list[list[float]]):
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets=tempered) -> DataFrame:
-    """docs, each row as often as its rate says: the whole part, and once more if a draw seeded by id and text falls below the rest."""
+    """docs, each row as often as its rate says: the whole part, and once more if a draw seeded by id and text falls below the rest.
+
+    Null and empty texts have the prior's rate, a null id is a key like any other, and
+    rows that share an id and a text share the draw. No column is added or lost; an
+    empty table gives an empty one; with nothing labelled docs come back as they are.
+    """
     model = learn(docs, labelled)
     if not model.domains:
         return docs
