@@ -127,7 +127,7 @@ def fit(docs: DataFrame, key: Column) -> Model:
     df[found["bucket"]] = found["n"]
     idf = (np.log((1 + sum(counts.values())) / (1 + df)) + 1).astype(np.float32)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 40, -(-SAMPLE * (1 << 40) // n)))])
-    sample = labelled.filter(F.col("rank") < share[F.col("lang")])
+    sample = labelled.filter(F.col("rank") < share[F.col("lang")]).dropDuplicates(["lang", "rank"])  # copies of a row count once, so that the sample keeps its bound
     rows = arrow_map(sample, _vector_batches(idf), "lang string, rank long, at array<int>, x array<float>, size int").groupBy("lang").applyInPandas(_fit_language, "lang string, centres array<float>, limits array<double>").toArrow().to_pandas().sort_values("lang")
     centres = [np.asarray(c, np.float32).reshape(-1, DIMS) for c in rows["centres"]]
     return Model(idf, list(rows["lang"]), np.ascontiguousarray(np.concatenate(centres).T), np.repeat(np.arange(len(centres)), [len(c) for c in centres]), np.stack(list(rows["limits"])))
@@ -173,6 +173,12 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """docs without the rows that have no known language."""
+    """docs without the rows that have no known language.
+
+    Null, empty and letterless texts go; so do texts too far from every centroid. A
+    very long text is judged whole. With nothing labelled every text with a letter
+    stays. Ties go to the first language by name, repeated rows stay as often as they
+    came in, no column is added or lost, and an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(_training(docs), F.col("doc_id")))
     return arrow_map(docs, _keep_batches(shared), docs.schema)

@@ -85,7 +85,11 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 
 def apply_policy(entries: DataFrame, version: int = POLICY) -> DataFrame:
-    """entries with base_failed, kept and policy; the base rules hold under every policy."""
+    """entries (a ledger) with base_failed, kept and policy; the base rules hold under every policy.
+
+    A row's own bits decide, so rows of null texts, repeated rows and empty tables need
+    no rule of their own. Other columns stay; columns of the three names are replaced.
+    """
     failed = F.col("fail_bits").bitwiseAND(F.lit(BASE_BITS)) != 0
     kept = F.col("fail_bits").bitwiseAND(F.lit(POLICIES[version] | BASE_BITS)) == 0
     return entries.withColumn("base_failed", failed).withColumn("kept", kept).withColumn("policy", F.lit(version))
@@ -94,7 +98,8 @@ def apply_policy(entries: DataFrame, version: int = POLICY) -> DataFrame:
 def ablation(entries: DataFrame, version: int = POLICY) -> DataFrame:
     """Per rule of a policy: rule, n_fail, n_sole (failing this rule only, so kept without it), and the bits that fail anywhere in any_bits.
 
-    One aggregation over all rows, a few sums a task.
+    One aggregation over all rows, a few sums a task. Repeated rows count as often as
+    they occur; an empty table gives every rule with zeros; other columns are ignored.
     """
     mask = POLICIES[version] | BASE_BITS
     held = F.col("fail_bits").bitwiseAND(F.lit(mask))

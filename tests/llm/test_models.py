@@ -118,3 +118,79 @@ def test_documents_round_trip(spark):
     back = sorted((str(r["doc_id"]), str(r["text"])) for r in pieces.decode_documents(out).collect())
     assert back == sorted((str(i), str(t)) for i, t in rows)
     assert pieces.encode_documents(out.selectExpr("doc_id", "'' as text").limit(0)).count() == 0
+
+
+def test_predictions_match_cosines_computed_apart(spark):
+    """IDF by counting documents, cosines by dictionaries, from the fitted centroids; each fitted centroid is a mean of its nearest sample texts."""
+    rows, docs = language_docs(spark)
+    model = langid.fit(langid._training(docs), docs["doc_id"])
+    train = [t for i, t, lang, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 5 and lang and t]
+    df = sum((features.letter_counts(t) > 0).astype(int) for t in train)
+    idf = np.log((1 + len(train)) / (1 + df)) + 1
+    assert np.abs(model.idf - idf).max() < 1e-5
+
+    def tfidf(t):
+        c = features.letter_counts(t)
+        v = {int(k): (1 + np.log(c[k])) * idf[k] for k in np.flatnonzero(c)}
+        n = sum(x * x for x in v.values()) ** 0.5
+        return {k: x / n for k, x in v.items()}
+
+    sample = {lang: [tfidf(t) for i, t, k, _ in rows if k == lang and t and i is not None and zlib.crc32(str(i).encode()) % 5] for lang in model.langs}
+    for j, centre in enumerate(model.centroids.T):
+        lang = model.owner[j]
+        own = [v for v in sample[model.langs[lang]] if max(range(len(model.owner)), key=lambda c: (model.owner[c] == lang) * sum(x * model.centroids[k, c] for k, x in v.items())) == j]
+        mean = np.zeros(features.DIMS)
+        for v in own:
+            for k, x in v.items():
+                mean[k] += x
+        if own:
+            assert np.abs(centre - mean / np.linalg.norm(mean)).max() < 0.05
+    got = {r["doc_id"]: r for r in langid.predict_languages(docs).collect()}
+    for i, t, _, _ in rows:
+        if i is not None and t and any(map(str.isalpha, t)):
+            v = tfidf(t)
+            cosines = [sum(x * float(model.centroids[k, j]) for k, x in v.items()) for j in range(len(model.owner))]
+            best = int(np.argmax(cosines))
+            assert got[i]["score"] == pytest.approx(min(1, max(0, cosines[best])), abs=1e-5)
+            assert max(c for c, o in zip(cosines, model.owner, strict=True) if model.langs[o] == got[i]["lang_pred"]) == pytest.approx(cosines[best], abs=1e-6)
+
+
+def test_rates_match_least_squares_computed_apart(spark):
+    """Nonnegative rates nearest to one that meet the targets, by a projected gradient over all rows at once with numpy."""
+    rnd = random.Random(3)
+    rows = [(rnd.randint(1, 40), [p, 1 - p]) for p in (rnd.random() ** 3 for _ in range(200))]
+    soft = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
+    want = lambda t: np.array([0.2, 0.8]) * t.sum()
+    steps, wanted, reached = mixing.fit_rates(soft, 2, want)
+    n, q = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows])
+    dual = np.zeros(2)
+    goal = want((q * n[:, None]).sum(0))
+    for _ in range(200_000):  # rates max(0, 1 + q . dual): the dual of the same least squares
+        miss = goal - (np.maximum(0, 1 + q @ dual) * n) @ q
+        dual += 1e-4 * miss
+        if np.abs(miss).max() < 1e-9 * goal.max():
+            break
+    assert wanted == pytest.approx(goal) and reached == pytest.approx(goal, rel=1e-6)
+    got = np.array([r["r"] for r in soft.select(mixing.rate(steps).alias("r")).collect()])
+    assert (got >= 0).all() and (got * n) @ q == pytest.approx(goal, rel=1e-6)
+    best, own = (n * (np.maximum(0, 1 + q @ dual) - 1) ** 2).sum(), (n * (got - 1) ** 2).sum()
+    assert own <= 1.05 * best + 1e-6
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    soft = spark.createDataFrame([(10, [1.0, 0.0])] * 3, "n_tokens long, posterior array<double>")
+    steps, wanted, reached = mixing.fit_rates(soft, 2, lambda t: np.array([10.0, 20.0]))
+    assert len(steps) <= 3 and mixing.residual(wanted, reached) >= 0.9
+
+
+def test_long_words_follow_the_same_lattice_and_stay_lossless():
+    vocab = pieces.vocabulary(pieces.model_path())
+    n, word = 6000, " antidisestablish"
+    short = pieces.encode([word[1:].encode()] * n, list(range(n)), vocab)
+    long = pieces.LongWord(vocab, word)
+    count = lambda many: {k: sum(tuple(x) == k for x in many) / n for k in {tuple(x) for x in many}}
+    a, b = count([x.tolist() for x in short]), count([long.sample(np.uint64(pieces.seed_of(i))).tolist() for i in range(n)])
+    assert max(abs(a.get(k, 0) - b.get(k, 0)) for k in {*a, *b}) < 0.04
+    text = ("x" * 70_000 + "é" * 10 + "▁" + "ab" * 40_000).encode() + b"\xff" + b" end"
+    (ids,) = pieces.encode([text], [7], vocab)
+    assert vocab.decode(ids.tolist()) == text
