@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,20 +21,21 @@ def _udf(f: Callable, returns: str):
 
 # --- sentences of a document -------------------------------------------------
 
-_OPENERS = (re.compile(r"By [A-Z]"), re.compile(r"\("), re.compile(r"c\.\d"))
+# fixed values: patterns of sentences that go
+_OPENERS = (re.compile(r"By [A-Z]"), re.compile(r"^\("), re.compile(r"c\.\d"))
 _ALWAYS = (re.compile(r"eds:", re.I), re.compile(r"[ -]\d{3}-\d{4}"), re.compile(r"\(k\)"))
+_QUOTE_START, _QUOTE_END, _QUOTE_BOTH = re.compile(r'(^|\s)[\(]*"'), re.compile(r"\"[,.'\)]*(\s|$)"), re.compile(r"([^\(\s]\"[^\s.,'])")
 
 
 def _shouts(s: str) -> bool:
-    letters = [c for c in s if c.isalpha()]
-    return bool(letters) and s == s.upper() or sum(c.isupper() for c in s) > 0.2 * max(len(s), 1)
+    return s.isupper() or sum(c.isupper() for c in s) > 0.2 * max(len(s), 1)
 
 
 def keep_sentences(sentences: list[str]) -> list[str]:
     """Drops bylines and the like while nothing was kept yet; always drops shouting, short sentences without an end, notes to editors and phone numbers."""
     kept: list[str] = []
     for s in sentences:
-        if not kept and (any(p.match(s) for p in _OPENERS) or s[:1] == '"' and s[-1:] == '"'):
+        if not kept and (any(p.search(s) for p in _OPENERS) or s[:1] == '"' and s[-1:] == '"'):
             continue
         ended = s.endswith((".", '."', ".)"))
         if _shouts(s) or len(s.split()) < 20 and not ended or any(p.search(s) for p in _ALWAYS):
@@ -43,18 +45,25 @@ def keep_sentences(sentences: list[str]) -> list[str]:
 
 
 def glue_quotes(sentences: list[str]) -> list[str]:
-    """Joins sentences while a quotation that was opened isn't closed; one that never closes is left alone."""
+    """Joins the sentences between a quotation's start and the nearest end after it; of starts with one end the nearest has it, others are left alone."""
+    starts, ends, offset = [], [], 0  # (place in the text, sentence)
+    for k, s in enumerate(sentences):
+        starts += [(offset + m.end(), k) for p in (_QUOTE_START, _QUOTE_BOTH) for m in p.finditer(s)]
+        ends += [(offset + m.start(), k) for p in (_QUOTE_END, _QUOTE_BOTH) for m in p.finditer(s)]
+        offset += len(s)
+    ends.sort()
+    nearest: dict[int, tuple[int, int]] = {}  # end -> the last start before it
+    for place, k in sorted(starts):
+        e = bisect_left(ends, (place, -1))
+        if e < len(ends) and (e not in nearest or nearest[e][0] < place):
+            nearest[e] = (place, k)
+    joined = {i for e, (_, first) in nearest.items() for i in range(first + 1, ends[e][1] + 1)}
     out: list[str] = []
-    i = 0
-    while i < len(sentences):
-        j, marks = i, sentences[i].count('"')
-        while marks % 2 and j + 1 < len(sentences):
-            j += 1
-            marks += sentences[j].count('"')
-        if marks % 2:
-            j = i
-        out.append(" ".join(sentences[i : j + 1]))
-        i = j + 1
+    for i, s in enumerate(sentences):
+        if i in joined:
+            out[-1] += " " + s
+        else:
+            out.append(s)
     return out
 
 

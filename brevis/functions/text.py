@@ -104,15 +104,41 @@ def is_quoted(s: Column) -> Column:
     return s.rlike('^["(].*[")]$')
 
 
+# fixed values: phrases that the cleaning rules know
+WEEKDAYS = "monday|tuesday|wednesday|thursday|friday|saturday|sunday"
+DAY_PHRASE = f"(^| |, )(on|last|this|next|late) ({WEEKDAYS})( morning| afternoon| evening| night| alone)?($| |,|\\.)"
+SAID = ', [^,"]*? (said|reported)\\.$'
+OPENING_MARKERS, CONJUNCTIONS, INNER_MARKERS = "^(however|still|so|nonetheless), ", "^(and|but),? ", ", (however|though|meanwhile),"
+TOLD = ',[^,."]*? (said|reported|told|announced|according to)[^,]*?\\.$'
+NOT_OPENING, NOT_CLOSING = ("as", "if", "since", "asked"), ("and", "but", "although", "or")
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _capital(s: Column) -> Column:
+    """The first letter in upper case, or the one after an opening quotation mark; ASCII letters only."""
+    at = F.when(F.startswith(s, F.lit('"')), 2).otherwise(1)
+    up = F.translate(F.substring(s, at, F.lit(1)), _LOWER, _LOWER.upper())
+    return F.concat(F.substring(s, F.lit(1), at - 1), up, F.substring(s, at + 1, F.length(s)))
+
+
 def clean_sentence(s: Column) -> Column:
-    """Of sentences with over 8 words: day phrases, a closing attribution (over 10 words), and discourse markers taken out."""
-    day = "(Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day"
-    x = F.regexp_replace(s, f",? (late |early )?on {day}( (morning|afternoon|evening|night))?,?", "")
-    x = F.when(n_words(x) > 10, F.regexp_replace(x, ", [^,]{1,60} said\\.$", ".")).otherwise(x)
-    x = F.regexp_replace(x, "^(However|And|But|Meanwhile),? ", "")
-    x = F.regexp_replace(x, ", (however|though|meanwhile),", "")
-    x = F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
-    return F.when(n_words(s) > 8, x).otherwise(s)
+    """Of sentences with over 8 words: phrases with a weekday, a closing attribution (if over 10 words are left), and discourse markers taken out."""
+    x = F.regexp_replace(s, f"(?i){DAY_PHRASE}", "$5")
+    x = F.regexp_replace(F.regexp_replace(x, "^, (\\w)", "$1"), "\\s+", " ")
+    x = F.when(n_words(x) > 10, F.regexp_replace(x, f"(?i){SAID}", ".")).otherwise(x)
+    for pattern in (f"(?i){OPENING_MARKERS}", f"(?i){CONJUNCTIONS}", INNER_MARKERS):
+        x = F.regexp_replace(x, pattern, "")
+    return F.when(n_words(s) > 8, _capital(F.btrim(x, F.lit(BLANKS + "\n")))).otherwise(s)
+
+
+def clean_aggressive(s: Column) -> Column:
+    """clean_sentence, and then a closing clause with an attribution goes if it is shorter than what it follows."""
+    x = clean_sentence(s)
+    words = lambda c: F.filter(F.split(c, "\\s+"), lambda w: w != "")
+    clause = words(F.substring_index(x, ",", -1))
+    before = words(F.replace(F.regexp_replace(x, ",?[^,]*$", ""), F.lit(","), F.lit(" ")))
+    stays = F.lower(F.get(words(x), F.lit(0))).isin(*NOT_OPENING) | F.lower(F.get(clause, F.lit(0))).isin(*NOT_CLOSING) | (F.size(clause) >= F.size(before)) | (F.size(clause) == 0)
+    return F.when(F.coalesce(stays, F.lit(True)), x).otherwise(F.regexp_replace(x, f"(?i){TOLD}", "."))
 
 
 def clean_html(s: Column) -> Column:

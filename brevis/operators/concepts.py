@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brevis.functions import text as T
+from brevis.sources.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -107,13 +108,13 @@ def sentence_values(sents: DataFrame) -> DataFrame:
 
 def propagate_to_concepts(values: DataFrame, occ: DataFrame) -> DataFrame:
     """Half a round of mutual reinforcement: a concept's value is the normalised sum of its sentences' values."""
-    raw = occ.join(values, ["topic_id", "doc_id", "ord"]).groupBy("topic_id", "concept").agg(F.sum("value").alias("v"))
+    raw = stored(occ.join(values, ["topic_id", "doc_id", "ord"]).groupBy("topic_id", "concept").agg(F.sum("value").alias("v")), "concept-values")
     return _normalised(raw, "concept")
 
 
 def propagate_to_sentences(values: DataFrame, occ: DataFrame) -> DataFrame:
     """The other half: a sentence's value is the normalised sum of its concepts' values."""
-    raw = occ.join(values, ["topic_id", "concept"]).groupBy("topic_id", "doc_id", "ord").agg(F.sum("value").alias("v"))
+    raw = stored(occ.join(values, ["topic_id", "concept"]).groupBy("topic_id", "doc_id", "ord").agg(F.sum("value").alias("v")), "sentence-values")
     return _normalised(raw, "doc_id", "ord")
 
 
@@ -123,8 +124,9 @@ def _normalised(raw: DataFrame, *keys: str) -> DataFrame:
 
 
 def query_expand(sents: DataFrame, unit: str = "n2", rounds: int = 2) -> DataFrame:
-    """(topic_id, concept, value) after `rounds` rounds from the query overlap; unrolled, four groupings for two rounds."""
-    occ, v = occurrences(sents, unit), sentence_values(sents)
+    """(topic_id, concept, value) after `rounds` rounds from the query overlap; each half round is stored, so that the next one and the totals read it."""
+    sents = stored(sents.select("topic_id", "doc_id", "ord", "words", "overlap"), "overlaps")
+    occ, v = stored(occurrences(sents, unit), "occurrences"), sentence_values(sents)
     for k in range(rounds):
         c = propagate_to_concepts(v, occ)
         v = propagate_to_sentences(c, occ) if k + 1 < rounds else v

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brevis.sources.scratch import stored
+
 
 def long_form(rows: DataFrame, attributes: list[str], label: str) -> DataFrame:
     """(attribute, value, label), one row per row and attribute; null values are the string "?"."""
@@ -73,17 +75,30 @@ def equal_width(df: DataFrame, column: str, bins: int) -> DataFrame:
 def equal_frequency_cuts(df: DataFrame, column: str, bins: int) -> DataFrame:
     """(i, cut): the column's quantiles that part it into bins; ranks come from counts per value, so no row is sorted in one task."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+    upto = ranked(counts, "v", weight="n").withColumn("upto", F.col("rank") + F.col("n"))
     total = counts.agg(F.sum("n").alias("t"))
     want = total.select("t", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))).alias("i"))
     j = upto.crossJoin(F.broadcast(want)).filter(F.col("upto") * bins >= F.col("i") * F.col("t"))
     return j.groupBy("i").agg(F.min("v").alias("cut"))
 
 
+def ranked(df: DataFrame, *order: str, weight: str | None = None) -> DataFrame:
+    """df with rank: how many rows (or how much weight) come before a row in this order.
+
+    Rows are dealt by ranges and stored; each range is ranked in a task of its own, and
+    starts where the ranges before it end. Only a row per range meets in one task.
+    """
+    size = F.col(weight) if weight else F.lit(1)
+    dealt = stored(df.withColumn("_size", size.cast("long")).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_range").agg(F.sum("_size").alias("_n"))
+    first = totals.withColumn("_first", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_range", "_first")
+    own = F.coalesce(F.sum("_size").over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(F.broadcast(first), "_range").withColumn("rank", own + F.col("_first")).drop("_size", "_range", "_first")
+
+
 def folds(df: DataFrame, key: str, label: str, k: int) -> DataFrame:
-    """Stratified folds: rows take turns within their label, by key; ranks within a label come from range partitions, counted first."""
-    w = W.partitionBy(label).orderBy(key)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    """Stratified folds: rows in order of label, then key, take turns over the whole set."""
+    return ranked(df, label, key).withColumn("fold", F.col("rank") % k).drop("rank")
 
 
 def boosting_scores(features: DataFrame, stumps: DataFrame, key: str) -> DataFrame:

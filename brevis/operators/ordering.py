@@ -46,10 +46,10 @@ def expand_documents(docs: DataFrame, queries: DataFrame, stop: tuple[str, ...],
     return s.withColumn("r", F.row_number().over(W.partitionBy("topic_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("r") <= n).drop("r")
 
 
-def select_pairwise(sents: DataFrame, budget: int = 100, cutoff: int = 10, seconds: float = 2.0) -> DataFrame:
+def select_pairwise(sents: DataFrame, budget: int = 100, cutoff: int = 10) -> DataFrame:
     """(topic_id, doc_id, ord): sentences with the most relevance less the cosine of each ordered pair, from the `cutoff` most relevant of a topic.
 
-    sents(topic_id, doc_id, ord, length, words, relevance). The cutoff is the model's own, and bounds a task.
+    sents(topic_id, doc_id, ord, length, words, relevance). The cutoff is the model's own; it bounds a task and its search, which sees every set of ten.
     """
     top = sents.withColumn("r", F.row_number().over(W.partitionBy("topic_id").orderBy(F.desc("relevance"), "doc_id", "ord"))).filter(F.col("r") <= cutoff)
 
@@ -63,6 +63,6 @@ def select_pairwise(sents: DataFrame, budget: int = 100, cutoff: int = 10, secon
                 x[i, at[w]] += 1
         norm = np.maximum(np.linalg.norm(x, axis=1), 1e-12)
         cos = (x @ x.T) / norm[:, None] / norm[None, :]
-        return pdf.loc[pairwise(pdf["relevance"].to_numpy(), cos, list(pdf["length"]), budget, seconds), ["topic_id", "doc_id", "ord"]]
+        return pdf.loc[pairwise(pdf["relevance"].to_numpy(), cos, list(pdf["length"]), budget), ["topic_id", "doc_id", "ord"]]
 
     return top.select("topic_id", "doc_id", "ord", "length", "words", "relevance").groupBy("topic_id").applyInPandas(solve, "topic_id string, doc_id long, ord int")

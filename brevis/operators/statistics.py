@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brevis.sources.scratch import stored
+
 
 def freq_dist(samples: DataFrame, *keys: str) -> DataFrame:
     return samples.groupBy(*keys).agg(F.count("*").alias("c"))
@@ -16,6 +18,7 @@ def _totals(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 def smoothed(counts: DataFrame, by: tuple[str, ...], method: str, bins: int | None = None, gamma: float = 0.5) -> DataFrame:
     """counts(by, sample, c) with p under mle, lidstone, laplace, ele or witten_bell; bins defaults to the samples seen plus one."""
+    counts = stored(counts, "counts")  # for the totals and the shares
     t = counts.join(F.broadcast(_totals(counts, by)) if not by else _totals(counts, by), list(by)) if by else counts.crossJoin(F.broadcast(_totals(counts, by)))
     size = F.lit(bins) if bins else F.col("b") + 1
     g = {"lidstone": gamma, "laplace": 1.0, "ele": 0.5}.get(method)

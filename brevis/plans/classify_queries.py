@@ -9,7 +9,7 @@ from brevis.functions import text as T
 from brevis.functions.stem import stem_table
 from brevis.operators import learning as L
 from brevis.operators import splitter as SB
-from brevis.sources.tables import sentences, table, topics
+from brevis.sources.tables import sentences, table, topic_sentences, topics
 
 from .registry import SENTS, query
 
@@ -72,7 +72,7 @@ def ig_rank_features(spark, d):
     return m.select("attribute", F.row_number().over(W.orderBy(F.desc(F.round("information_gain", 9)), "attribute")).cast("long").alias("rank"))
 
 
-@query(f"WITH {_ROWS} SELECT doc_id, label, (row_number() OVER (PARTITION BY label ORDER BY doc_id) - 1) % 5 AS fold FROM r")
+@query(f"WITH {_ROWS} SELECT doc_id, label, (row_number() OVER (ORDER BY label, doc_id) - 1) % 5 AS fold FROM r")
 def cv_folds(spark, d):
     return L.folds(_rows(spark, d), "doc_id", "label", 5).select("doc_id", "label", F.col("fold").cast("long").alias("fold"))
 
@@ -123,7 +123,7 @@ def boosting_score(spark, d):
 @query(f"WITH {SENTS}, w AS (SELECT unnest(tok) AS word, topic_id FROM sent), s AS (SELECT word, right(word, 2) AS tag, count(*) AS n FROM w GROUP BY ALL), a AS (SELECT left(word, 2) AS affix, tag, sum(n) AS n FROM s GROUP BY ALL) SELECT affix, arg_max(tag, n * 1000000 - ascii(tag) * 1000 - coalesce(ascii(substr(tag, 2, 1)), 0)) AS tag, sum(n)::BIGINT AS n FROM a GROUP BY affix")
 def affix_tagger(spark, d):
     """A tagger's model: the commonest tag (here a word's ending) of each affix."""
-    w = sentences(topics(spark, d)).select(F.explode("tok").alias("word"))
+    w = topic_sentences(spark, d).select(F.explode("tok").alias("word"))
     a = w.groupBy(F.substring("word", 1, 2).alias("affix"), F.substring("word", -2, 2).alias("tag")).agg(F.count("*").alias("n"))
     rank = F.col("n") * 1000000 - F.ascii("tag") * 1000 - F.ascii(F.substring("tag", 2, 1))
     return a.groupBy("affix").agg(F.max_by("tag", rank).alias("tag"), F.sum("n").alias("n"))
@@ -133,7 +133,7 @@ def affix_tagger(spark, d):
        "SELECT x, y, k, round(log2(k * n / (nx * ny)), 9) AS pmi FROM c JOIN cx USING (x) JOIN cy USING (y), n WHERE k >= 5")
 def collocations(spark, d):
     """Neighbouring words seen five times or more, with their pointwise mutual information."""
-    b = sentences(topics(spark, d)).select(F.explode(F.transform(F.slice("tok", 1, F.greatest(F.size("tok") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("x"), F.get("tok", i + 1).alias("y")))).alias("p"))
+    b = topic_sentences(spark, d).select(F.explode(F.transform(F.slice("tok", 1, F.greatest(F.size("tok") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("x"), F.get("tok", i + 1).alias("y")))).alias("p"))
     c = b.groupBy("p.x", "p.y").agg(F.count("*").alias("k"))
     cx, cy, n = c.groupBy("x").agg(F.sum("k").alias("nx")), c.groupBy("y").agg(F.sum("k").alias("ny")), c.agg(F.sum("k").alias("n"))
     return c.filter("k >= 5").join(cx, "x").join(cy, "y").crossJoin(F.broadcast(n)).select("x", "y", "k", F.round(F.log2(F.col("k") * F.col("n") / (F.col("nx") * F.col("ny"))), 9).alias("pmi"))
@@ -155,7 +155,7 @@ def boundary_classifier(spark, d):
 
 @query(None)
 def stem_words(spark, d):
-    return stem_table(sentences(topics(spark, d)).select(F.explode("tok").alias("word")))
+    return stem_table(topic_sentences(spark, d).select(F.explode("tok").alias("word")))
 
 
 @query(None)
@@ -193,7 +193,7 @@ def topic_model(spark, d, first: int | None = None):
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
-    sents = sentences(topics(spark, d))
+    sents = topic_sentences(spark, d)
     sents = sents if first is None else sents.filter(F.col("ord") < first)
     words = sents.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array_distinct(T.without_stopwords(F.col("tok"), T.stopwords())))).alias("words"))
     counts = CountVectorizer(inputCol="words", outputCol="features", minDF=2.0, vocabSize=2**31 - 1).fit(words).transform(words)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brevis.functions import text as T
 from brevis.operators import concepts as C
 from brevis.operators import selection as S
-from brevis.sources.tables import sentences, table, topic_queries, topics
+from brevis.sources.scratch import stored
+from brevis.sources.tables import sentences, table, topic_queries, topic_sentences, topics
 
 from .registry import OCC, OVER, SENTS, TOPICS, grams, no_stop, production, query, tokens
 
@@ -17,10 +19,9 @@ STOPWORDS = T.stopwords()
 
 def overlapped(spark: SparkSession, d: str, docset: str | None = None) -> DataFrame:
     """Sentences with words and query overlap, of one docset or both."""
-    t = topics(spark, d)
-    t = t.filter(F.col("docset") == docset) if docset else t
-    s = sentences(t).withColumnRenamed("tok", "words")
-    return C.with_overlap(s, topic_queries(spark, d), STOPWORDS)
+    s = topic_sentences(spark, d).withColumnRenamed("tok", "words")
+    s = s.filter(F.col("docset") == docset) if docset else s
+    return C.with_overlap(s.drop("docset"), topic_queries(spark, d), STOPWORDS)
 
 
 @query(f"WITH {OVER} SELECT doc_id, ord, overlap FROM over_")
@@ -136,7 +137,7 @@ def top65_concepts(spark, d):
 
 @query(f"WITH {SENTS} SELECT topic_id, w AS word, 1.0::DOUBLE / count(DISTINCT doc_id) AS idf FROM (SELECT topic_id, doc_id, unnest(tok) AS w FROM sent) GROUP BY ALL")
 def idf_inverse_df(spark, d):
-    w = sentences(topics(spark, d)).select("topic_id", "doc_id", F.explode("tok").alias("word"))
+    w = topic_sentences(spark, d).select("topic_id", "doc_id", F.explode("tok").alias("word"))
     return w.groupBy("topic_id", "word").agg((1.0 / F.countDistinct("doc_id")).alias("idf"))
 
 
@@ -148,18 +149,18 @@ dot AS (SELECT t.doc_id, t.ord, sum(t.tf * d.dtf) AS dot FROM tf t JOIN dtf d ON
 @query(f"WITH {_COS} SELECT doc_id, ord, round(dot / (sn * dn), 9) AS cosine, round(dot / (sn * dn) + CASE WHEN ord = 0 THEN 1 ELSE 0 END, 9) AS relevance FROM dot JOIN sn USING (doc_id, ord) JOIN dn USING (doc_id)")
 def centroid_relevance(spark, d):
     """Cosine of a sentence with its document, and one more for the first sentence."""
-    s = sentences(topics(spark, d)).withColumn("w", F.explode(T.without_stopwords(F.col("tok"), STOPWORDS)))
-    tf = s.groupBy("doc_id", "ord", "w").agg(F.count("*").alias("tf"))
-    dtf = tf.groupBy("doc_id", "w").agg(F.sum("tf").alias("dtf"))
-    dn = dtf.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("dtf") * F.col("dtf"))).alias("dn"))
-    dot = tf.join(dtf, ["doc_id", "w"]).groupBy("doc_id", "ord").agg(F.sum(F.col("tf") * F.col("dtf")).alias("dot"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("sn"))
-    c = F.col("dot") / (F.col("sn") * F.col("dn"))
-    return dot.join(dn, "doc_id").select("doc_id", "ord", F.round(c, 9).alias("cosine"), F.round(c + F.when(F.col("ord") == 0, 1).otherwise(0), 9).alias("relevance"))
+    s = topic_sentences(spark, d).withColumn("w", F.explode(T.without_stopwords(F.col("tok"), STOPWORDS)))
+    # one shuffle, of hashed words by document; a document's squared norm is the sum of its sentences' products with it
+    tf = s.select("doc_id", "ord", F.xxhash64("w").alias("w")).repartition("doc_id").groupBy("doc_id", "ord", "w").agg(F.count("*").alias("tf"))
+    dtf = tf.withColumn("dtf", F.sum("tf").over(W.partitionBy("doc_id", "w")))
+    dot = dtf.groupBy("doc_id", "ord").agg(F.sum(F.col("tf") * F.col("dtf")).alias("dot"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("sn"))
+    c = F.col("dot") / (F.col("sn") * F.sqrt(F.sum("dot").over(W.partitionBy("doc_id"))))
+    return dot.select("doc_id", "ord", F.round(c, 9).alias("cosine"), F.round(c + F.when(F.col("ord") == 0, 1).otherwise(0), 9).alias("relevance"))
 
 
 @query(f"WITH {SENTS}, w AS (SELECT topic_id, doc_id, ord, unnest(list_distinct(list_filter({no_stop('tok')}, lambda x: len(x) >= 8))) AS w FROM sent WHERE docset = 'A') SELECT a.topic_id, a.w AS a, b.w AS b, count(*) AS n FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.ord = b.ord AND a.w < b.w GROUP BY ALL HAVING count(*) > 1")
 def cooccurrence_counts(spark, d):
-    s = sentences(topics(spark, d).filter("docset = 'A'")).withColumnRenamed("tok", "words")
+    s = topic_sentences(spark, d).filter("docset = 'A'").withColumnRenamed("tok", "words")
     return C.cooccurrence(s, STOPWORDS).filter("n > 1")
 
 
@@ -194,8 +195,6 @@ k AS (SELECT *, CASE WHEN lead_ IS NULL OR f_ord = 0 THEN 0 WHEN doc_id = substr
 SELECT topic_id, doc_id, ord, row_number() OVER (PARTITION BY topic_id ORDER BY key, doc_id, ord) AS pos FROM k""")
 def order_promote_first(spark, d):
     """Five candidates a topic, by overlap, put in reading order."""
-    from pyspark.sql import Window as W
-
     c = C.candidates(overlapped(spark, d, "A"))
     five = c.withColumn("rn", F.row_number().over(W.partitionBy("topic_id").orderBy(F.desc("overlap"), "doc_id", "ord"))).filter("rn <= 5").withColumn("rank", F.lit(0))
     return S.promote_first(five.select("topic_id", "rank", "doc_id", "ord", "length")).select("topic_id", "doc_id", "ord", F.col("pos").cast("long").alias("pos"))
@@ -203,8 +202,8 @@ def order_promote_first(spark, d):
 
 def _selected(spark, d, docset, method, **kw):
     s = overlapped(spark, d, docset)
-    w = C.production_weights(s, C.RULES[docset], STOPWORDS)
-    c = C.candidates(s)
+    w = stored(C.production_weights(s, C.RULES[docset], STOPWORDS), "weights")
+    c = stored(C.candidates(s).select("topic_id", "doc_id", "ord", "length", "words"), "candidates")
     return S.select(c, C.incidence(c, w), w, method, **kw), s
 
 
@@ -221,12 +220,12 @@ def select_greedy(spark, d):
 
 @query(None)
 def select_exact(spark, d):
-    return _selected_of_both(spark, d, "exact", seconds=5.0)
+    return _selected_of_both(spark, d, "exact")
 
 
 @query(None)
 def select_nbest(spark, d):
-    return _selected_of_both(spark, d, "exact", n=2, seconds=3.0)
+    return _selected_of_both(spark, d, "exact", n=2)
 
 
 @query(None)
@@ -234,9 +233,9 @@ def select_swap(spark, d):
     return _selected_of_both(spark, d, "swap")
 
 
-def summaries(spark: SparkSession, d: str, docset: str = "A", method: str = "greedy") -> DataFrame:
+def summaries(spark: SparkSession, d: str, docset: str = "A", method: str = "exact") -> DataFrame:
     """(topic_id, rank, pos, doc_id, ord, text): ordered summary sentences."""
-    chosen, s = _selected(spark, d, docset, method, seconds=5.0)
+    chosen, s = _selected(spark, d, docset, method)
     full = chosen.join(s.select("topic_id", "doc_id", "ord", "length", F.col("orig").alias("text")), ["topic_id", "doc_id", "ord"])
     return S.promote_first(full.select("topic_id", "rank", "doc_id", "ord", "length", "text")).select("topic_id", "rank", "pos", "doc_id", "ord", "text")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brevis.functions import rows, text as T
 from brevis.operators import ordering
-from brevis.sources.tables import sentences, table, topic_queries, topics
+from brevis.sources.tables import sentences, table, topic_queries, topic_sentences, topics
 
 from .concept_queries import STOPWORDS, overlapped
 from .registry import QUERIES_CTE, TOPICS, query, tokens
@@ -19,7 +19,7 @@ def kept_sentences(spark, d):
 
 @query(None)
 def treebank_tokens(spark, d):
-    s = sentences(topics(spark, d))
+    s = topic_sentences(spark, d)
     return s.select("doc_id", "ord", rows.treebank(F.col("orig")).alias("toks")).select("doc_id", "ord", "toks", rows.detokenized(F.col("toks")).alias("again"))
 
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from brevis.operators import rouge as R
 from brevis.operators import statistics as S
-from brevis.sources.tables import sentences, table, topics
+from brevis.sources.tables import sentences, table, topic_sentences, topics
 
 from .registry import SENTS, grams, query, words_of
 
 
 def _words(spark, d):
-    return sentences(topics(spark, d)).select("topic_id", "doc_id", F.explode("tok").alias("word"))
+    return topic_sentences(spark, d).select("topic_id", "doc_id", F.explode("tok").alias("word"))
 
 
 _W = f"{SENTS}, w AS (SELECT topic_id, docset, doc_id, unnest(tok) AS word FROM sent)"
@@ -112,7 +112,7 @@ def precision_recall_f(spark, d):
 
 @query(f"WITH {SENTS}, a AS (SELECT DISTINCT topic_id, unnest({grams('tok', 1)}) AS w FROM sent WHERE ord = 0), b AS (SELECT DISTINCT topic_id, unnest({grams('tok', 1)}) AS w FROM sent WHERE ord = 1), k AS (SELECT topic_id, count(DISTINCT a.w) AS t, count(DISTINCT b.w) AS s, count(DISTINCT CASE WHEN a.w IS NOT NULL AND b.w IS NOT NULL THEN w END) AS hit FROM (SELECT topic_id, w FROM a UNION SELECT topic_id, w FROM b) u LEFT JOIN a USING (topic_id, w) LEFT JOIN b USING (topic_id, w) GROUP BY topic_id) SELECT topic_id, round(hit / nullif(s, 0), 9) AS precision, round(hit / nullif(t, 0), 9) AS recall FROM k")
 def set_precision_recall(spark, d):
-    s = sentences(topics(spark, d)).select("topic_id", "ord", F.explode("tok").alias("w"))
+    s = topic_sentences(spark, d).select("topic_id", "ord", F.explode("tok").alias("w"))
     x = S.set_scores(s.filter("ord = 0"), s.filter("ord = 1"), "topic_id", "w")
     return x.select("topic_id", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 

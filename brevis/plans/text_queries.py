@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brevis.functions import text as T
-from brevis.sources.tables import sentences, table, topics
+from brevis.sources.tables import sentences, table, topic_sentences, topics
 
 from .registry import SENTS, SPLIT, all_stop, fixed, grams, no_stop, punct_free, query, skips, tokens, words_of
 
 
 def _sents(spark, d):
-    return sentences(topics(spark, d))
+    return topic_sentences(spark, d)
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM pages")
@@ -122,15 +122,16 @@ def spelling_keys(spark, d):
     return w.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.countDistinct("w").alias("spellings"), F.min("w").alias("example"))
 
 
-_A = words_of("t.text")
-_BOW = "list_distinct(list_transform({}, lambda x: lower(x)))"
+#: Words that the entailment tagger leaves out.
+BOW_STOP = ("a", "the", "it", "they", "of", "in", "have", "is", "are", "were", "and")
+_BOW = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9_]+')), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in BOW_STOP) + "))"
 
 
 @query(f"SELECT conv_id, turn, round(100.0 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS score, 100.0 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= 33 AS entails FROM "
-       f"(SELECT t.conv_id, t.turn, {_BOW.format(_A)} AS a, {_BOW.format(words_of('n.text'))} AS b FROM conversations t JOIN conversations n ON n.conv_id = t.conv_id AND n.turn = t.turn + 1) WHERE len(list_distinct(list_concat(a, b))) > 0")
+       f"(SELECT t.conv_id, t.turn, {_BOW.format("t.text")} AS a, {_BOW.format("n.text")} AS b FROM conversations t JOIN conversations n ON n.conv_id = t.conv_id AND n.turn = t.turn + 1) WHERE len(list_distinct(list_concat(a, b))) > 0")
 def entailment_bag_of_words(spark, d):
     c = table(spark, d, "conversations")
-    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), "\\s+"), lambda w: w != ""))
+    words = lambda x: F.filter(F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9_]+"), F.lit(0))), lambda w: ~w.isin(*BOW_STOP))
     a = c.select("conv_id", "turn", words(F.col("text")).alias("a"))
     b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), words(F.col("text")).alias("b"))
     score = 100 * T.jaccard(F.col("a"), F.col("b"))
@@ -165,11 +166,30 @@ def edit_distance_phrases(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.levenshtein(F.array_join(F.slice(w, 1, 4), " "), F.array_join(F.slice(w, 5, 4), " ")).cast("long").alias("distance"))
 
 
-@query(None)
+def _sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_CLEAN = f"""{SENTS}, a AS (SELECT doc_id, ord, orig, regexp_replace(regexp_replace(regexp_replace(orig, {_sql_text(T.DAY_PHRASE)}, '\\5', 'gi'), '^, ([0-9A-Za-z_])', '\\1'), '\\s+', ' ', 'g') AS x FROM sent),
+b AS (SELECT doc_id, ord, orig, CASE WHEN len({words_of('x')}) > 10 THEN regexp_replace(x, {_sql_text(T.SAID)}, '.', 'gi') ELSE x END AS x FROM a),
+c AS (SELECT doc_id, ord, orig, trim(regexp_replace(regexp_replace(regexp_replace(x, {_sql_text(T.OPENING_MARKERS)}, '', 'i'), {_sql_text(T.CONJUNCTIONS)}, '', 'i'), {_sql_text(T.INNER_MARKERS)}, '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM b),
+cleaned AS (SELECT doc_id, ord, CASE WHEN len({words_of('orig')}) <= 8 THEN orig WHEN starts_with(x, '"') THEN '"' || translate(x[2:2], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || x[3:] ELSE translate(x[1:1], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || x[2:] END AS cleaned FROM c)"""
+
+
+@query(f"WITH {_CLEAN} SELECT doc_id, ord, cleaned FROM cleaned")
 def clean_sentences(spark, d):
     return _sents(spark, d).select("doc_id", "ord", T.clean_sentence(F.col("orig")).alias("cleaned"))
 
 
+_WORDS = words_of("cleaned")
+_CLAUSE, _BEFORE = words_of("list_last(string_split(cleaned, ','))"), words_of("array_to_string(string_split(cleaned, ',')[1:-2], ' ')")
+
+
+@query(f"WITH {_CLEAN} SELECT doc_id, ord, CASE WHEN lower({_WORDS}[1]) IN ('as', 'if', 'since', 'asked') OR lower({_CLAUSE}[1]) IN ('and', 'but', 'although', 'or') OR len({_CLAUSE}) >= len({_BEFORE}) OR len({_CLAUSE}) = 0 OR len({_WORDS}) = 0 THEN cleaned ELSE regexp_replace(cleaned, {_sql_text(T.TOLD)}, '.', 'gi') END AS cleaned FROM cleaned")
+def clean_sentences_aggressive(spark, d):
+    return _sents(spark, d).select("doc_id", "ord", T.clean_aggressive(F.col("orig")).alias("cleaned"))
+
+
 @query(None)
 def date_expressions(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(T.date_mentions(F.col("text"))).alias("mention"))

@@ -7,9 +7,17 @@ from pyspark.sql import functions as F
 
 from brevis.functions import text as T
 
+from .scratch import kept
+
+#: Tables of texts, and the key that deals their rows to tasks where the files are fewer than the cores.
+TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; rows of texts are dealt to all cores where a few files would leave most of them idle, which never happens to a large table."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, TEXTS[name]) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +33,11 @@ def sentences(docs: DataFrame, keys: tuple[str, ...] = ("topic_id", "doc_id")) -
     return split.select(*keys, "ord", "orig", T.tokenize(F.col("orig")).alias("tok"), T.n_words(F.col("orig")).alias("length"))
 
 
+def topic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(topic_id, docset, doc_id, ord, orig, tok, length) of all topic documents, split and tokenised once an application."""
+    return kept(lambda: sentences(topics(spark, sf_dir), ("topic_id", "docset", "doc_id")), "sentences", f"{sf_dir}/documents.parquet", spark)
+
+
 def topic_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(topic_id, query): each topic's query text is the benchmark item whose id is the topic's number modulo the items."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
