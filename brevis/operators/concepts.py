@@ -148,3 +148,59 @@ def cooccurrence(sents: DataFrame, stop: tuple[str, ...], least: int = 8) -> Dat
     rows = sents.select("topic_id", w.alias("w"))
     pairs = F.flatten(F.transform("w", lambda x, i: F.transform(F.slice("w", i + 2, F.size("w")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return rows.select("topic_id", F.explode(pairs).alias("p")).groupBy("topic_id", "p.a", "p.b").agg(F.count("*").alias("n"))
+
+
+def heuristic_weights(sents: DataFrame, stop: tuple[str, ...], unit: str = "n2", least: int = 3, words: int = 5) -> DataFrame:
+    """df_or_tf over the first of each wording in a topic, of `words` words or more and with a query word; concepts of stopwords alone go."""
+    place = F.struct("doc_id", "ord")
+    able = sents.filter((F.col("length") >= words) & (F.col("overlap") > 0)).withColumn("wording", F.xxhash64(F.concat_ws(" ", "words")))
+    first = able.groupBy("topic_id", "wording").agg(F.min(place).alias("p"))
+    kept = able.join(first, ["topic_id", "wording"]).filter(place == F.col("p"))
+    return df_or_tf(kept, unit, least).filter(not_just_stopwords(F.col("concept"), stop))
+
+
+def lead_candidates(sents: DataFrame, words: int = 5) -> DataFrame:
+    """(topic_id, doc_id, ord): of each document the first sentence of over `words` words whose wording no earlier sentence of the topic has."""
+    place = F.struct("doc_id", "ord")
+    able = sents.filter(F.col("length") > words).withColumn("wording", F.xxhash64(F.concat_ws(" ", "words")))
+    first = able.groupBy("topic_id", "wording").agg(F.min(place).alias("p"))
+    return first.groupBy("topic_id", F.col("p.doc_id").alias("doc_id")).agg(F.min("p.ord").alias("ord"))
+
+
+def paragraph_starters(docs: DataFrame, words: int = 20) -> DataFrame:
+    """(topic_id, doc_id, par, orig): the first sentences of paragraphs, of `words` words or more, the first of each wording in a topic. docs(topic_id, doc_id, text)."""
+    pars = docs.select("topic_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("par", "p"))
+    starts = pars.select("topic_id", "doc_id", "par", F.get(T.split_sentences(F.col("p")), F.lit(0)).alias("orig")).filter(T.n_words(F.col("orig")) >= words)
+    return starts.groupBy("topic_id", "orig").agg(F.min(F.struct("doc_id", "par")).alias("p")).select("topic_id", "p.doc_id", "p.par", "orig")
+
+
+def variants(sents: DataFrame) -> DataFrame:
+    """sents with a row per distinct wording of a sentence: as it is, cleaned, cleaned aggressively; variant counts them, words and length are the wording's."""
+    texts = F.array_distinct(F.array(F.col("orig"), T.clean_sentence(F.col("orig")), T.clean_aggressive(F.col("orig"))))
+    rows = sents.select("topic_id", "doc_id", "ord", F.posexplode(texts).alias("variant", "orig"))
+    return rows.withColumn("words", T.tokenize(F.col("orig"))).withColumn("length", T.n_words(F.col("orig")))
+
+
+def variant_incidence(sents: DataFrame, weights: DataFrame, least: int = 10, unit: str = "n2") -> DataFrame:
+    """(topic_id, doc_id, ord, variant, concept): kept concepts of the wordings of `least` words or more that aren't quoted. Weights come from the originals."""
+    v = variants(sents).filter((F.col("length") >= least) & ~T.is_quoted(F.col("orig")))
+    occ = v.select("topic_id", "doc_id", "ord", "variant", F.explode(F.array_distinct(T.units(F.col("words"), unit))).alias("concept"))
+    return occ.join(weights.select("topic_id", "concept"), ["topic_id", "concept"], "left_semi")
+
+
+def with_entities(weights: DataFrame, entities: DataFrame, fudge: float, least: int = 1) -> DataFrame:
+    """weights and the concepts of an extractor, marked __ie__: and weighing fudge times their documents. entities(topic_id, doc_id, entity)."""
+    e = entities.groupBy("topic_id", F.concat(F.lit("__ie__:"), "entity").alias("concept")).agg((fudge * F.countDistinct("doc_id")).alias("weight")).filter(F.col("weight") >= least)
+    return weights.withColumn("weight", F.col("weight").cast("double")).unionByName(e)
+
+
+def flagged(lines: DataFrame, column: str, flag: str, keep: bool) -> DataFrame:
+    """lines that end with |flag, or those that don't."""
+    ends = F.endswith(column, F.lit(f"|{flag}"))
+    return lines.filter(ends if keep else ~ends)
+
+
+def document_reinforcement(occ: DataFrame) -> DataFrame:
+    """(topic_id, concept, value): a round of reinforcement from documents of equal value: a concept's share of its topic's document frequencies."""
+    df = stored(occ.groupBy("topic_id", "concept").agg(F.countDistinct("doc_id").alias("v")), "document-frequencies")
+    return _normalised(df, "concept")

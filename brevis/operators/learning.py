@@ -108,3 +108,20 @@ def boosting_scores(features: DataFrame, stumps: DataFrame, key: str) -> DataFra
     raw = features.select(key).distinct().join(hit, key, "left").crossJoin(F.broadcast(n))
     s = (F.col("base") + F.coalesce("d", F.lit(0.0))) / F.col("a")
     return raw.select(key, s.alias("score"), (1 / (1 + F.exp(-2 * s * F.col("rounds")))).alias("posterior"))
+
+
+def backoff_tags(tagged: DataFrame, words: DataFrame, default: str, suffix: int = 3) -> DataFrame:
+    """words(word) with tag: the word's commonest tag, else its ending's, else the default; ties go to the first tag by name. tagged(word, tag, n): counts."""
+    ending = lambda c: F.substring(c, -suffix, suffix)
+
+    def best(key, name):
+        c = tagged.groupBy(key.alias("k"), "tag").agg(F.sum("n").alias("n"))
+        return c.groupBy("k").agg(F.min(F.struct((-F.col("n")).alias("m"), "tag")).alias("b")).select("k", F.col("b.tag").alias(name))
+
+    x = words.join(best(F.col("word"), "own").withColumnRenamed("k", "word"), "word", "left").withColumn("k", ending(F.col("word")))
+    return x.join(best(ending(F.col("word")), "like"), "k", "left").drop("k").withColumn("tag", F.coalesce("own", "like", F.lit(default))).withColumn("source", F.when(F.col("own").isNotNull(), "word").when(F.col("like").isNotNull(), "ending").otherwise("default")).drop("own", "like")
+
+
+def split_by_id(df: DataFrame, key: str) -> DataFrame:
+    """df with part: a tenth of the ids test, a tenth dev, the rest train."""
+    return df.withColumn("part", F.when(F.pmod(key, F.lit(10)) == 0, "test").when(F.pmod(key, F.lit(10)) == 1, "dev").otherwise("train"))

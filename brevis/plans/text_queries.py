@@ -170,11 +170,13 @@ def _sql_text(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_CLEAN = f"""{SENTS}, a AS (SELECT doc_id, ord, orig, regexp_replace(regexp_replace(regexp_replace(orig, {_sql_text(T.DAY_PHRASE)}, '\\5', 'gi'), '^, ([0-9A-Za-z_])', '\\1'), '\\s+', ' ', 'g') AS x FROM sent),
+CLEANING = f"""a AS (SELECT doc_id, ord, orig, regexp_replace(regexp_replace(regexp_replace(orig, {_sql_text(T.DAY_PHRASE)}, '\\5', 'gi'), '^, ([0-9A-Za-z_])', '\\1'), '\\s+', ' ', 'g') AS x FROM sent),
 b AS (SELECT doc_id, ord, orig, CASE WHEN len({words_of('x')}) > 10 THEN regexp_replace(x, {_sql_text(T.SAID)}, '.', 'gi') ELSE x END AS x FROM a),
 c AS (SELECT doc_id, ord, orig, trim(regexp_replace(regexp_replace(regexp_replace(x, {_sql_text(T.OPENING_MARKERS)}, '', 'i'), {_sql_text(T.CONJUNCTIONS)}, '', 'i'), {_sql_text(T.INNER_MARKERS)}, '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM b),
 cleaned AS (SELECT doc_id, ord, CASE WHEN len({words_of('orig')}) <= 8 THEN orig WHEN starts_with(x, '"') THEN '"' || translate(x[2:2], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || x[3:] ELSE translate(x[1:1], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || x[2:] END AS cleaned FROM c)"""
 
+_CLEAN = f"{SENTS}, {CLEANING}"
+
 
 @query(f"WITH {_CLEAN} SELECT doc_id, ord, cleaned FROM cleaned")
 def clean_sentences(spark, d):
@@ -185,7 +187,10 @@ _WORDS = words_of("cleaned")
 _CLAUSE, _BEFORE = words_of("list_last(string_split(cleaned, ','))"), words_of("array_to_string(string_split(cleaned, ',')[1:-2], ' ')")
 
 
-@query(f"WITH {_CLEAN} SELECT doc_id, ord, CASE WHEN lower({_WORDS}[1]) IN ('as', 'if', 'since', 'asked') OR lower({_CLAUSE}[1]) IN ('and', 'but', 'although', 'or') OR len({_CLAUSE}) >= len({_BEFORE}) OR len({_CLAUSE}) = 0 OR len({_WORDS}) = 0 THEN cleaned ELSE regexp_replace(cleaned, {_sql_text(T.TOLD)}, '.', 'gi') END AS cleaned FROM cleaned")
+AGGRESSIVE = f"""CASE WHEN lower({_WORDS}[1]) IN ('as', 'if', 'since', 'asked') OR lower({_CLAUSE}[1]) IN ('and', 'but', 'although', 'or') OR len({_CLAUSE}) >= len({_BEFORE}) OR len({_CLAUSE}) = 0 OR len({_WORDS}) = 0 THEN cleaned ELSE regexp_replace(cleaned, {_sql_text(T.TOLD)}, '.', 'gi') END"""
+
+
+@query(f"WITH {_CLEAN} SELECT doc_id, ord, {AGGRESSIVE} AS cleaned FROM cleaned")
 def clean_sentences_aggressive(spark, d):
     return _sents(spark, d).select("doc_id", "ord", T.clean_aggressive(F.col("orig")).alias("cleaned"))
 
