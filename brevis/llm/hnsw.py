@@ -9,10 +9,16 @@ UPPER, LOWER, BUILD_BEAM = 12, 24, 40
 #: A node is on layer l or above with probability RATIO ** -l.
 RATIO = 16
 FIRST, BATCH, EXPAND = 256, 512, 3
+TOGETHER = 1024
 #: Beam of the descent, and the nodes it hands to the layer below.
 DESCENT, ENTRIES = 24, 3
 
 
+def together(nodes: int) -> int:
+    """Queries that search a graph of as many nodes at a time."""
+    return max(8, min(TOGETHER, 24_000_000 // (nodes + 1)))
+
+
 def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest of each row, in falling order."""
     if ids.shape[1] > k:
@@ -157,7 +163,7 @@ class Graph:
     def within(self, q: np.ndarray, least: float, beam: int, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, node, similarity) pairs of at least `least`: a beam on the base layer finds the region, which is then followed while similarities stay over least - slack."""
         x, links, out = self.x, self.links[0], []
-        chunk = max(8, min(1024, 24_000_000 // (len(x) + 1)))
+        chunk = together(len(x))
         for lo in range(0, len(q), chunk):
             part = q[lo : lo + chunk]
             ids, sims, visited = beam_search(x, links, part, self.entries(part, 0, max(DESCENT, beam)), beam)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import met, written
 from .graph import components
-from .hnsw import LOWER, Graph
+from .hnsw import LOWER, Graph, together
 from .simhash import link
 
 LEAST = 0.9
@@ -134,7 +134,7 @@ def widen(g: Graph, q: np.ndarray, least: float, beam: int = BEAM, slack: float
         return None
     audited, owns, truth = _audit(g, q, own, least)
     while True:
-        found, size = [], max(1, min(CHUNK, CELLS // len(g.x)))
+        found, size = [], together(len(g.x))
         for lo in range(0, len(audited), size):
             who, node, _ = g.within(audited[lo : lo + size], least, beam, slack)
             found.append(_per_query(who, node, owns[lo : lo + size]))
@@ -148,7 +148,8 @@ def widen(g: Graph, q: np.ndarray, least: float, beam: int = BEAM, slack: float
 def search(g: Graph, q: np.ndarray, least: float, beam: int = BEAM, slack: float = SLACK, own: np.ndarray | None = None):
     """Yields (first query, pairs of at least `least`) by chunks of queries."""
     wide = widen(g, q, least, beam, slack, own)
-    size = max(1, min(CHUNK, CELLS // len(g.x)))  # in the worst case every pair of a chunk is a hit
+    # in the worst case every pair of a chunk is a hit; a graph is searched by as many queries as it takes at a time
+    size = max(1, min(CHUNK, CELLS // len(g.x))) if wide is None else together(len(g.x))
     for lo in range(0, len(q), size):
         part = q[lo : lo + size]
         yield lo, _brute(g.x, part, least) if wide is None else g.within(part, least, *wide)
