@@ -12,6 +12,10 @@ FIRST, BATCH, EXPAND = 256, 512, 3
 TOGETHER = 1024
 #: Beam of the descent, and the nodes it hands to the layer below.
 DESCENT, ENTRIES = 24, 3
+#: Nodes of an upper layer up to which one product with all of them costs less than a beam.
+DENSE = 1024
+#: Pairs whose similarities are computed at once.
+PIECE = 4096
 
 
 def together(nodes: int) -> int:
@@ -31,18 +35,28 @@ def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
 def _select(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
     """Of each row's candidates (falling similarity, -1 for none) up to m that are nearer to the row's vector than to any chosen one; then the nearest others."""
     n, c = ids.shape
-    v = x[ids]
-    between = v @ v.transpose(0, 2, 1)
-    chosen = np.zeros((n, c), bool)
+    v = x.take(ids, 0)
+    shadows = v @ v.transpose(0, 2, 1) >= sims[:, None, :]  # a candidate that is as near to another one as to the row
+    chosen, open_, left = np.zeros((n, c), bool), ids >= 0, np.full(n, m)
     for j in range(c):
-        near = np.where(chosen[:, :j], between[:, j, :j], -2.0).max(1, initial=-2.0)
-        chosen[:, j] = (ids[:, j] >= 0) & (near < sims[:, j]) & (chosen[:, :j].sum(1) < m)
+        chosen[:, j] = open_[:, j] & (left > 0)
+        left -= chosen[:, j]
+        open_ &= ~(shadows[:, j] & chosen[:, j, None])
     rank = np.where(chosen, 0, np.where(ids >= 0, 1, 2)) * c + np.arange(c)
     at = np.argsort(rank, axis=1)[:, :m]
     out = np.take_along_axis(ids, at, 1)
     return np.pad(out, ((0, 0), (0, m - out.shape[1])), constant_values=-1)
 
 
+def _dots(x: np.ndarray, at: np.ndarray, q: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """x[at] times q[who], pair by pair, in pieces that stay in a core's cache."""
+    out = np.empty(len(at), x.dtype)
+    for lo in range(0, len(at), PIECE):
+        a, b = at[lo : lo + PIECE], who[lo : lo + PIECE]
+        out[lo : lo + PIECE] = np.einsum("kd,kd->k", x.take(a, 0), q.take(b, 0))
+    return out
+
+
 def _fresh(got: np.ndarray) -> np.ndarray:
     """Rows with repeated ids put to -1."""
     got = np.sort(got, axis=1)
@@ -72,12 +86,14 @@ def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarr
             break
         done[live[:, None], at] = True
         from_ids = np.where(good, ids[live[:, None], at], -1)
-        got = links[from_ids]
+        got = links.take(from_ids, 0)
         got[from_ids < 0] = -1
         got = _fresh(got.reshape(len(live), -1))
         got[visited[live[:, None], got]] = -1
         visited[live[:, None], got] = True
-        new = np.where(got >= 0, np.einsum("qkd,qd->qk", x[got], q[live]), -2.0)
+        new = np.full(got.shape, -2.0, x.dtype)
+        who, place = np.nonzero(got >= 0)  # most neighbours have been seen: only the others are compared
+        new[who, place] = _dots(x, got[who, place], q, live[who])
         all_ids, all_sims = np.concatenate([ids[live], got], 1), np.concatenate([sims[live], new], 1)
         all_done = np.concatenate([done[live], got < 0], 1)
         k = min(beam, all_ids.shape[1])
@@ -108,10 +124,16 @@ class Graph:
         """The nearest nodes that a descent from the top finds on the layers over this one.
 
         A dense group of vectors has few links from outside on the base layer, but
-        nodes of its own on the layer above, which a beam of this width finds.
+        nodes of its own on the layer above, which a beam of this width finds. The
+        layers at the top that are small are compared whole.
         """
         at = np.zeros((len(q), 1), np.int64)
-        for layer in range(len(self.sizes) - 1, above, -1):
+        layers = range(len(self.sizes) - 1, above, -1)
+        small = [layer for layer in layers if self.sizes[layer] <= DENSE]
+        if small:  # layers are nested, so the lowest small one holds all above it
+            size = self.sizes[small[-1]]
+            at = _top(np.broadcast_to(np.arange(size), (len(q), size)), q @ self.x[:size].T, ENTRIES)[0]
+        for layer in layers[len(small) :]:
             ids, sims, _ = beam_search(self.x[: self.sizes[layer]], self.links[layer], q, at, beam)
             at = _top(ids, sims, ENTRIES)[0]
         return at
@@ -144,7 +166,7 @@ class Graph:
         """Gives the neighbours of new nodes a link back; a node with too many chooses anew."""
         to, source = links[new].ravel(), np.repeat(new, m)
         source, to = source[to >= 0], to[to >= 0]
-        sims = np.einsum("kd,kd->k", x[source], x[to])
+        sims = _dots(x, source, x, to)
         by = np.lexsort((-sims, to))
         source, to = source[by], to[by]
         start = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if to.size else np.empty(0, np.int64)
@@ -156,7 +178,7 @@ class Graph:
         for lo in range(0, len(nodes), BATCH):
             own = nodes[lo : lo + BATCH]
             ids = _fresh(np.concatenate([links[own], more[lo : lo + BATCH]], 1))
-            sims = np.where(ids >= 0, np.einsum("qkd,qd->qk", x[ids], x[own]), -2.0)
+            sims = np.where(ids >= 0, np.einsum("qkd,qd->qk", x.take(ids, 0), x.take(own, 0)), -2.0)
             ids, sims = _top(ids, sims, 2 * m)
             links[own] = _select(x, ids, sims, m)
 
@@ -182,7 +204,7 @@ class Graph:
                     code = np.unique(w[new] * np.int64(len(x)) + to[new])
                     w, to = code // len(x), code % len(x)
                     visited[w, to] = True
-                    s = np.einsum("kd,kd->k", x[to], part[w])
+                    s = _dots(x, to, part, w)
                     near = s >= least - slack
                     parts.append((w[near], to[near], s[near]))
                 who, node, sim = (np.concatenate(c) for c in zip(*parts, strict=True))
