@@ -18,6 +18,27 @@ STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ica
 STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
+# Words whose stems no rule gives.
+IRREGULAR = {
+    "sky": "sky",
+    "skies": "sky",
+    "dying": "die",
+    "lying": "lie",
+    "tying": "tie",
+    "news": "news",
+    "innings": "inning",
+    "inning": "inning",
+    "outings": "outing",
+    "outing": "outing",
+    "cannings": "canning",
+    "canning": "canning",
+    "howe": "howe",
+    "proceed": "proceed",
+    "exceed": "exceed",
+    "succeed": "succeed",
+}
+
+
 def _shape(word: str) -> str:
     """v or c per letter; y is a consonant at the start and after a vowel."""
     out = ""
@@ -77,10 +98,10 @@ def _derived(w: str) -> str:
 
 @lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
-    """Lower-cased; words of two letters or fewer stay."""
+    """Lower-cased; words of two letters or fewer stay, irregular ones are looked up."""
     w = word.lower()
-    if len(w) <= 2:
-        return w
+    if len(w) <= 2 or w in IRREGULAR:
+        return IRREGULAR.get(w, w)
     w = _past(_plural(w))
     if w.endswith("y") and len(w) > 2 and _shape(w[:-1])[-1] == "c":
         w = w[:-1] + "i"

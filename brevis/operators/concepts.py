@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brevis.functions import text as T
+from brevis.functions.stem import stem_arrays
 from brevis.sources.scratch import stored
 
 
@@ -34,9 +35,13 @@ def occurrences(sents: DataFrame, unit: str = "n2", words: str = "words") -> Dat
     return sents.select("topic_id", "doc_id", "ord", F.explode(F.array_distinct(T.units(F.col(words), unit))).alias("concept"))
 
 
-def with_overlap(sents: DataFrame, queries: DataFrame, stop: tuple[str, ...], words: str = "words") -> DataFrame:
-    """sents with overlap: how many distinct query words, stopwords aside, each has. queries(topic_id, query): one row a topic."""
-    q = queries.select("topic_id", F.array_distinct(T.without_stopwords(T.tokenize(F.col("query")), stop)).alias("q"))
+def with_overlap(sents: DataFrame, queries: DataFrame, stop: tuple[str, ...], words: str = "words", stem: bool = False) -> DataFrame:
+    """sents with overlap: how many distinct query words, stopwords aside, each has. queries(topic_id, query): one row a topic.
+
+    stem: words are stems already; query words lose their stopwords and are stemmed then, while stems of sentences are held against the list as it is.
+    """
+    asked = T.without_stopwords(T.tokenize(F.col("query")), stop)
+    q = queries.select("topic_id", F.array_distinct(stem_arrays(asked) if stem else asked).alias("q"))
     own = T.without_stopwords(F.array_distinct(F.col(words)), stop)
     return sents.join(q, "topic_id", "left").withColumn("overlap", F.coalesce(F.size(F.array_intersect(own, F.col("q"))), F.lit(0))).drop("q")
 

@@ -10,18 +10,18 @@ from brevis.functions import text as T
 from brevis.operators import concepts as C
 from brevis.operators import selection as S
 from brevis.sources.scratch import stored
-from brevis.sources.tables import sentences, table, topic_queries, topic_sentences, topics
+from brevis.sources.tables import sentences, stemmed_sentences, table, topic_queries, topic_sentences, topics
 
 from .registry import OCC, OVER, SENTS, TOPICS, grams, no_stop, production, query, tokens
 
 STOPWORDS = T.stopwords()
 
 
-def overlapped(spark: SparkSession, d: str, docset: str | None = None) -> DataFrame:
-    """Sentences with words and query overlap, of one docset or both."""
-    s = topic_sentences(spark, d).withColumnRenamed("tok", "words")
+def overlapped(spark: SparkSession, d: str, docset: str | None = None, stem: bool = False) -> DataFrame:
+    """Sentences with words, or stems of words, and query overlap, of one docset or both."""
+    s = (stemmed_sentences if stem else topic_sentences)(spark, d).withColumnRenamed("tok", "words")
     s = s.filter(F.col("docset") == docset) if docset else s
-    return C.with_overlap(s.drop("docset"), topic_queries(spark, d), STOPWORDS)
+    return C.with_overlap(s.drop("docset"), topic_queries(spark, d), STOPWORDS, stem=stem)
 
 
 @query(f"WITH {OVER} SELECT doc_id, ord, overlap FROM over_")
@@ -67,6 +67,13 @@ def concept_weights_gold(spark, d):
     return C.gold_weights(_gold(spark, d))
 
 
+@query(None)
+def concept_weights_stemmed(spark, d):
+    """Production weights of bigrams of stems, of both docsets, each under its own rules."""
+    a, b = (C.production_weights(overlapped(spark, d, docset, stem=True), C.RULES[docset], STOPWORDS) for docset in ("A", "B"))
+    return a.unionByName(b)
+
+
 @query(f"WITH {OCC}, n AS (SELECT topic_id, count(DISTINCT doc_id) AS n_docs FROM over_ GROUP BY 1), w AS (SELECT topic_id, concept, count(DISTINCT doc_id) AS df, count(*) AS tf FROM occ GROUP BY ALL) SELECT topic_id, concept, CASE WHEN n_docs > 3 THEN df ELSE tf END AS weight FROM w JOIN n USING (topic_id) WHERE CASE WHEN n_docs > 3 THEN df ELSE tf END >= 3")
 def concept_df_or_tf(spark, d):
     return C.df_or_tf(overlapped(spark, d))
@@ -200,8 +207,8 @@ def order_promote_first(spark, d):
     return S.promote_first(five.select("topic_id", "rank", "doc_id", "ord", "length")).select("topic_id", "doc_id", "ord", F.col("pos").cast("long").alias("pos"))
 
 
-def _selected(spark, d, docset, method, **kw):
-    s = overlapped(spark, d, docset)
+def _selected(spark, d, docset, method, stem=True, **kw):
+    s = overlapped(spark, d, docset, stem)
     w = stored(C.production_weights(s, C.RULES[docset], STOPWORDS), "weights")
     c = stored(C.candidates(s).select("topic_id", "doc_id", "ord", "length", "words"), "candidates")
     return S.select(c, C.incidence(c, w), w, method, **kw), s
@@ -233,9 +240,9 @@ def select_swap(spark, d):
     return _selected_of_both(spark, d, "swap")
 
 
-def summaries(spark: SparkSession, d: str, docset: str = "A", method: str = "exact") -> DataFrame:
+def summaries(spark: SparkSession, d: str, docset: str = "A", method: str = "exact", stem: bool = True) -> DataFrame:
     """(topic_id, rank, pos, doc_id, ord, text): ordered summary sentences."""
-    chosen, s = _selected(spark, d, docset, method)
+    chosen, s = _selected(spark, d, docset, method, stem)
     full = chosen.join(s.select("topic_id", "doc_id", "ord", "length", F.col("orig").alias("text")), ["topic_id", "doc_id", "ord"])
     return S.promote_first(full.select("topic_id", "rank", "doc_id", "ord", "length", "text")).select("topic_id", "rank", "pos", "doc_id", "ord", "text")
 

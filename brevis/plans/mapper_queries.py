@@ -103,7 +103,7 @@ def select_exact_small(spark, d):
 @query(None)
 def selection_check(spark, d):
     """Whether the exact selections keep their budget and hold candidates only."""
-    cands = C.candidates(overlapped(spark, d))
+    cands = C.candidates(overlapped(spark, d, stem=True))
     return S.consistency(QUERIES["select_exact"](spark, d), cands)
 
 
