@@ -146,6 +146,24 @@ def huffman_codes(weights: dict[str, float]) -> dict[str, str]:
     return heap[0][2] if heap else {}
 
 
+def huffman_encode(symbols: list[str], codes: dict[str, str]) -> str:
+    """Symbols without a code are an error."""
+    return "".join(codes[s] for s in symbols)
+
+
+def huffman_decode(bits: str, codes: dict[str, str]) -> list[str]:
+    """No code starts another, so the first that fits is the symbol; bits left over at the end are an error."""
+    symbol, out, at = {c: s for s, c in codes.items()}, [], ""
+    for bit in bits:
+        at += bit
+        if at in symbol:
+            out.append(symbol[at])
+            at = ""
+    if at:
+        raise ValueError(f"{at} is the start of a code only")
+    return out
+
+
 KEEP, GLUE = (_udf(lambda x, f=f: f(list(x)), "array<string>") for f in (keep_sentences, glue_quotes))
 TREEBANK, DETOKENIZE = _udf(treebank_tokens, "array<string>"), _udf(lambda x: detokenize(list(x)), "string")
 

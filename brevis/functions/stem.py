@@ -140,6 +140,17 @@ def stem_arrays(words: Column) -> Column:
     return F.pandas_udf(_arrays, "array<string>")(words)
 
 
+def stem_content(words: Column, stop: tuple[str, ...], least: int = 3) -> Column:
+    """The 2008 rule: stopwords, "said" among them, and words of fewer than `least` letters stay as they are."""
+    kept = frozenset(stop) | {"said"}
+
+    def rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for arrays in batches:
+            yield arrays.map(lambda ws: [w if len(w) < least or w in kept else stem(w) for w in ws], na_action="ignore")
+
+    return F.pandas_udf(rows, "array<string>")(words)
+
+
 def stem_table(words: DataFrame, column: str = "word") -> DataFrame:
     """(column, stem) of the distinct words: each goes to Python once, whatever its frequency."""
     return words.select(column).distinct().withColumn("stem", stem_column(F.col(column)))

@@ -105,6 +105,18 @@ def incidence(cands: DataFrame, weights: DataFrame, unit: str = "n2") -> DataFra
     return occurrences(cands, unit).join(weights.select("topic_id", "concept"), ["topic_id", "concept"], "left_semi").select("topic_id", "doc_id", "ord", "concept")
 
 
+def found_in_text(concepts: Column, words: Column) -> Column:
+    """The concepts, in the order given, that stand in the words; a found one takes its words from all that come later."""
+    start = F.struct(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias("left"), F.array().cast("array<string>").alias("found"))
+
+    def step(now, concept):
+        own = F.concat(F.lit(" "), F.replace(concept, F.lit("_"), F.lit(" ")), F.lit(" "))
+        taken = F.struct(F.replace(now["left"], own, F.lit(" <MATCHED> ")).alias("left"), F.array_append(now["found"], concept).alias("found"))
+        return F.when(F.contains(now["left"], own), taken).otherwise(now)
+
+    return F.aggregate(concepts, start, step)["found"]
+
+
 def sentence_values(sents: DataFrame) -> DataFrame:
     """(topic_id, doc_id, ord, value): overlap normalised within the topic; topics without any are left out."""
     total = sents.groupBy("topic_id").agg(F.sum("overlap").alias("t")).filter("t > 0")

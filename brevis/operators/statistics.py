@@ -41,6 +41,12 @@ def entropy(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return p.groupBy(*by).agg(h.alias("entropy")).withColumn("signed_entropy", -F.col("entropy"))
 
 
+def merged(a: Column, b: Column) -> Column:
+    """Two maps of counts as one: counts of a key in both are added; a null map is an empty one."""
+    none = F.create_map().cast("map<string,bigint>")
+    return F.map_zip_with(F.coalesce(a, none), F.coalesce(b, none), lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+
+
 def kl_divergence(p: DataFrame, q: DataFrame, by: str, sample: str, floor: float = 1e-13) -> DataFrame:
     """(by, kl): sum of p log2(p / q), a missing q taken as floor."""
     j = p.select(by, sample, F.col("p").alias("x")).join(q.select(by, sample, F.col("p").alias("y")), [by, sample], "left")

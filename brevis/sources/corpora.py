@@ -7,8 +7,11 @@ store Spark reads will do; parsing is on built-in expressions.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brevis.functions import text as T
+
 
 def whole_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, value), a row per file whose name matches the glob, at any depth."""
@@ -97,6 +100,35 @@ def word_list(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(F.split("value", "\r?\n")).alias("word")).filter("word <> ''")
 
 
+def column_rows(sents: DataFrame) -> DataFrame:
+    """(topic_id, doc_id, ord, text) to dump: sentences that start with two small letters are bad splits and go; a document's first sentence is cleaned harder than others."""
+    start = F.substring("orig", 1, 2)
+    good = ~((start == F.lower(start)) & (start != F.upper(start)))
+    text = F.when(F.col("ord") == 0, T.clean_aggressive(F.col("orig"))).otherwise(T.clean_sentence(F.col("orig")))
+    return sents.filter(good).select("topic_id", "doc_id", "ord", text.alias("text"))
+
+
+def write_columns(rows: DataFrame, path: str) -> None:
+    """Dumped sentences, a folder a topic."""
+    rows.write.mode("overwrite").partitionBy("topic_id").parquet(path)
+
+
+def renumbered(rows: DataFrame) -> DataFrame:
+    """Sentences as loaded from a dump: ord counts the sentences of a document that were dumped, from 0."""
+    w = W.partitionBy("topic_id", "doc_id").orderBy("ord")
+    return rows.select("topic_id", "doc_id", (F.row_number().over(w) - 1).alias("ord"), "text")
+
+
+def read_columns(spark: SparkSession, path: str) -> DataFrame:
+    """What write_columns wrote, renumbered."""
+    return renumbered(spark.read.schema("doc_id long, ord int, text string, topic_id string").parquet(path))
+
+
+def loaded(problems: DataFrame, checks: list[str]) -> DataFrame:
+    """One row: whether every problem has each of its parts; a null flag is a missing part, no problems have all."""
+    return problems.agg(*[F.coalesce(F.bool_and(F.coalesce(c, F.lit(False))), F.lit(True)).alias(c) for c in checks])
+
+
 def write_summaries(summaries: DataFrame, path: str) -> None:
     """A text file of lines per topic, in order."""
     lines = summaries.groupBy("topic_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "pos", "text"))), lambda x: x["text"]), "\n").alias("value"))

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from brevis.plans import classify_queries, concept_queries, mapper_queries, registry, relation_queries, row_queries, statistics_queries, text_queries, tree_queries  # noqa: F401
+from brevis.plans import classify_queries, concept_queries, corpus_queries, mapper_queries, registry, relation_queries, row_queries, statistics_queries, text_queries, tree_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
