@@ -102,3 +102,48 @@ def test_top_words_are_found_by_a_threshold(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def full_model(rows, sweeps=400, kept=300):
+    """log10 P of every text by the sampler in memory over all pairs of words."""
+    tok = lambda t: lm.tokens((t or "").encode())
+    train = [tok(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    place = {w: k for k, w in enumerate(sorted({lm.END} | {w for t in train for w in t}))}  # the end is first, the unseen word last
+    c = np.zeros((len(place) + 1, len(place) + 1))
+    for t in train:
+        for u, w in zip([lm.END, *t], t, strict=False):
+            c[place[u], place[w]] += 1
+    p = np.log10(lm.sample_pairs(c, sweeps, kept))
+    at = lambda w: place.get(w, len(place))
+    return [sum(p[at(u), at(w)] for u, w in zip([lm.END, *tok(t)], tok(t), strict=False)) for _, t in rows]
+
+
+@pytest.mark.parametrize(("known", "frequent", "bucket"), [(1 << 18, 1024, 1 << 19), (12, 4, 100)])
+def test_every_pair_of_words_has_its_own_cell(spark, monkeypatch, known, frequent, bucket):
+    # whatever lies in arrays or buckets, scores are those of the model over all pairs
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{a} x{a} y{b}" if a % 2 else f"w{a} z{a}" for a, b in zip(rng.zipf(1.3, 9) % 40, rng.integers(0, 60, 9), strict=True))) for i in range(300)]
+    rows += [(1000, "never met"), (1001, None), (1002, "w1 never x1")]
+    for name, value in (("KNOWN", known), ("FREQUENT", frequent), ("BUCKET", bucket), ("SWEEPS", 8), ("KEPT", 5)):
+        monkeypatch.setattr(lm, name, value)
+    got = dict(lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "score").collect())
+    own, want = np.array([got[i] for i, _ in rows]), np.array(full_model(rows))
+    assert np.abs(own - want).max() < 0.03 * np.abs(want).max() and abs(own.sum() - want.sum()) < 0.01 * abs(want.sum())
+
+
+@pytest.mark.parametrize(("c", "odds"), [(2, 0.1), (5, 0.7), (8, 3.0), (9, 0.2), (40, 5.0), (80, 60.0)])
+def test_seating_at_a_rate_matches_the_exact_posterior(c, odds):
+    n, s = 100_000, {1: 1.0}
+    for i in range(1, c):
+        s = {k: s.get(k - 1, 0.0) + (i - lm.DISCOUNT * k) * s.get(k, 0.0) for k in range(1, i + 2)}
+    p = np.array([s[k] * (lm.DISCOUNT * odds) ** k for k in range(1, c + 1)])
+    p /= p.sum()
+    t = lm.seat_at_rate(np.random.default_rng(7), np.full(n, c), np.full(n, odds))
+    assert np.abs(np.bincount(t, minlength=c + 1)[1:] / n - p).max() < 5 * 0.5 / n**0.5
+    alike = lm._seat_alike(np.random.default_rng(8), c, n, odds, None) / n
+    assert alike == pytest.approx((p * np.arange(1, c + 1)).sum(), abs=0.05)
+
+
+def test_blocks_come_back_whole():
+    a = np.array([[0, 5, (1 << 61) - 1], [-3, 1 << 18, 7]])
+    assert (lm.unpack(lm.pack(*a)) == a).all() and lm.unpack(lm.pack(a[0][:0])).shape == (1, 0)
