@@ -65,44 +65,48 @@ def _fresh(got: np.ndarray) -> np.ndarray:
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, similarities, visited) of a best-first search per query; entry: a node or several per query."""
-    n, rows = len(q), np.arange(len(q))[:, None]
+    """(ids, similarities, visited) of a best-first search per query, nearest first; entry: a node or several per query.
+
+    A step works on the few neighbours that are new, and of these only those nearer
+    than a beam's last enter its sort: no array is as wide as the neighbourhoods but
+    the one of places looked up in visited.
+    """
+    n, width = len(q), len(x) + 1
     entry = _fresh(entry.reshape(n, -1).copy())
     entry[(entry < 0).all(1), 0] = 0
-    visited = np.zeros((n, len(x) + 1), bool)  # the last column stands for no node
-    visited[rows, entry] = True
-    sims = np.where(entry >= 0, np.einsum("qkd,qd->qk", x[entry], q), -2.0)
-    ids, sims = _top(entry, sims, beam)
-    done = ids < 0
-    live = np.arange(n)
-    while live.size:
-        want = np.where(done[live], -3.0, sims[live])
-        e = min(EXPAND, want.shape[1])
-        at = np.argpartition(-want, e - 1, axis=1)[:, :e]
-        good = np.take_along_axis(want, at, 1) > -2.5
-        some = good.any(1)
-        live, at, good = live[some], at[some], good[some]
-        if not live.size:
-            break
-        done[live[:, None], at] = True
-        from_ids = np.where(good, ids[live[:, None], at], -1)
-        got = links.take(from_ids, 0)
-        got[from_ids < 0] = -1
-        got = _fresh(got.reshape(len(live), -1))
-        got[visited[live[:, None], got]] = -1
-        visited[live[:, None], got] = True
-        new = np.full(got.shape, -2.0, x.dtype)
-        who, place = np.nonzero(got >= 0)  # most neighbours have been seen: only the others are compared
-        new[who, place] = _dots(x, got[who, place], q, live[who])
-        all_ids, all_sims = np.concatenate([ids[live], got], 1), np.concatenate([sims[live], new], 1)
-        all_done = np.concatenate([done[live], got < 0], 1)
-        k = min(beam, all_ids.shape[1])
-        at = np.argpartition(-all_sims, k - 1, axis=1)[:, :k]
-        if k > ids.shape[1]:
-            pad = ((0, 0), (0, k - ids.shape[1]))
-            ids, sims, done = np.pad(ids, pad, constant_values=-1), np.pad(sims, pad, constant_values=-2.0), np.pad(done, pad, constant_values=True)
-        ids[live], sims[live], done[live] = np.take_along_axis(all_ids, at, 1), np.take_along_axis(all_sims, at, 1), np.take_along_axis(all_done, at, 1)
-    return ids, sims, visited
+    visited = np.zeros((n, width), bool)  # the last column stands for no node
+    visited[:, -1] = True
+    visited[np.arange(n)[:, None], entry] = True
+    flat = visited.reshape(-1)
+    ids, sims = _top(entry, np.where(entry >= 0, np.einsum("qkd,qd->qk", x[entry], q), -2.0).astype(x.dtype), beam)
+    pad = ((0, 0), (0, beam - ids.shape[1]))
+    ids, sims = np.pad(ids, pad, constant_values=-1), np.pad(sims, pad, constant_values=-2.0)
+    open_ = ids >= 0
+    while True:
+        take = open_ & (np.cumsum(open_, 1, dtype=np.int32) <= EXPAND)  # beams are sorted: the nearest that are open
+        who, place = np.nonzero(take)
+        if not who.size:
+            return ids, sims, visited
+        open_ &= ~take
+        code = (links.take(ids[who, place], 0) + (who * width)[:, None]).ravel()  # no node is -1: the column before the query's own, which is set
+        code = np.sort(code[~flat.take(code, mode="wrap")])
+        code = code[np.concatenate([[True], code[1:] != code[:-1]])] if code.size else code
+        flat[code] = True
+        who = code // width
+        node = code - who * width
+        new = _dots(x, node, q, who)
+        near = np.flatnonzero(new > sims[who, -1])
+        who, node, new = who[near], node[near], new[near]
+        if not who.size:
+            continue
+        rows, start, count = np.unique(who, return_index=True, return_counts=True)
+        at, place = np.repeat(np.arange(len(rows)), count), beam + np.arange(len(who)) - np.repeat(start, count)
+        shape = len(rows), beam + int(count.max())
+        all_ids, all_sims, all_open = np.full(shape, -1, ids.dtype), np.full(shape, -2.0, sims.dtype), np.zeros(shape, bool)
+        all_ids[:, :beam], all_sims[:, :beam], all_open[:, :beam] = ids[rows], sims[rows], open_[rows]
+        all_ids[at, place], all_sims[at, place], all_open[at, place] = node, new, True
+        best = np.argsort(-all_sims, axis=1)[:, :beam]
+        ids[rows], sims[rows], open_[rows] = np.take_along_axis(all_ids, best, 1), np.take_along_axis(all_sims, best, 1), np.take_along_axis(all_open, best, 1)
 
 
 class Graph:
@@ -132,7 +136,11 @@ class Graph:
         small = [layer for layer in layers if self.sizes[layer] <= DENSE]
         if small:  # layers are nested, so the lowest small one holds all above it
             size = self.sizes[small[-1]]
-            at = _top(np.broadcast_to(np.arange(size), (len(q), size)), q @ self.x[:size].T, ENTRIES)[0]
+            s = q @ self.x[:size].T
+            at = np.empty((len(q), min(ENTRIES, size)), np.int64)
+            for k in range(at.shape[1]):  # a few largest of many: a pass for each
+                at[:, k] = s.argmax(1)
+                s[np.arange(len(q)), at[:, k]] = -2.0
         for layer in layers[len(small) :]:
             ids, sims, _ = beam_search(self.x[: self.sizes[layer]], self.links[layer], q, at, beam)
             at = _top(ids, sims, ENTRIES)[0]
@@ -172,12 +180,14 @@ class Graph:
         start = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if to.size else np.empty(0, np.int64)
         place = np.arange(len(to)) - np.repeat(start, np.diff(np.append(start, len(to))))
         keep = place < m
-        nodes, row = np.unique(to, return_inverse=True)
+        nodes, row, count = np.unique(to, return_inverse=True, return_counts=True)
         more = np.full((len(nodes), m), -1, np.int64)
         more[row[keep], place[keep]] = source[keep]
+        few = np.argsort(count, kind="stable")  # most get a link or two: a piece is as wide as its own most
         for lo in range(0, len(nodes), BATCH):
-            own = nodes[lo : lo + BATCH]
-            ids = _fresh(np.concatenate([links[own], more[lo : lo + BATCH]], 1))
+            part = few[lo : lo + BATCH]
+            own = nodes[part]
+            ids = _fresh(np.concatenate([links[own], more[part, : min(m, count[part[-1]])]], 1))
             sims = np.where(ids >= 0, np.einsum("qkd,qd->qk", x.take(ids, 0), x.take(own, 0)), -2.0)
             ids, sims = _top(ids, sims, 2 * m)
             links[own] = _select(x, ids, sims, m)

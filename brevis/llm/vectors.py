@@ -39,7 +39,7 @@ NEAR = 1e-4
 
 def _unit(rows) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of length one in double and in single precision."""
-    x = np.stack([np.asarray(r, np.float64) for r in rows])
+    x = np.concatenate(list(rows)).astype(np.float64).reshape(len(rows), -1)
     x /= np.abs(x).max(1, keepdims=True)  # squares neither overflow nor vanish
     x /= np.sqrt((x * x).sum(1, keepdims=True))
     return x, x.astype(np.float32)
@@ -84,8 +84,8 @@ def _degrees(x: np.ndarray, q: np.ndarray, own: np.ndarray, least: float) -> np.
     """True links per query."""
     size, out = max(1, CELLS // len(x)), [np.empty(0, np.int64)]
     for lo in range(0, len(q), size):
-        who, node, _ = _brute(x, q[lo : lo + size], least)
-        out.append(_per_query(who, node, own[lo : lo + size]))
+        near, mine = q[lo : lo + size] @ x.T >= least, own[lo : lo + size]
+        out.append(np.count_nonzero(near, axis=1) - ((mine >= 0) & near[np.arange(len(mine)), mine]))
     return np.concatenate(out)
 
 
