@@ -14,13 +14,16 @@ those that found it, whichever are more: the two differ only where a beam missed
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import met, written
+from .common import NARROW_ROWS, arrow_map, met, written
 from .graph import components
 from .hnsw import LOWER, Graph, together
 from .simhash import link
@@ -37,9 +40,27 @@ AUDIT, DRAWS, RECALL = 256, 4096, 0.995
 NEAR = 1e-4
 
 
-def _unit(rows) -> tuple[np.ndarray, np.ndarray]:
+def _packed(kind: str):
+    """Rows (row, vec_id, embedding) with the vector as the bytes of its components, null where it links with nothing: bytes are grouped, joined and read at a fraction of an array's cost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            at, values = lists.offsets.to_numpy(), lists.values
+            x = values.to_numpy(zero_copy_only=False).astype(kind) + np.zeros(1, kind)  # null is NaN, and -0.0 becomes 0.0
+            bad, some = (np.concatenate([[0], np.cumsum(c)]) for c in (~np.isfinite(x), x != 0))
+            ok = lists.is_valid().to_numpy(zero_copy_only=False) & (bad[at[1:]] == bad[at[:-1]]) & (some[at[1:]] > some[at[:-1]])
+            raw, at = x.tobytes(), (at * x.itemsize).tolist()
+            packed = [raw[lo:hi] if k else None for lo, hi, k in zip(at, at[1:], ok.tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["row", "vec_id", "embedding"])
+
+    return run
+
+
+def _unit(rows: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of length one in double and in single precision."""
-    x = np.concatenate(list(rows)).astype(np.float64).reshape(len(rows), -1)
+    raw = b"".join(rows)
+    x = np.frombuffer(raw, f"<f{len(raw) // (len(rows) * dim)}").astype(np.float64).reshape(len(rows), dim)
     x /= np.abs(x).max(1, keepdims=True)  # squares neither overflow nor vanish
     x /= np.sqrt((x * x).sum(1, keepdims=True))
     return x, x.astype(np.float32)
@@ -53,7 +74,7 @@ def _pack(**arrays: np.ndarray) -> bytes:
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("cls")
-    exact, x = _unit(pdf["embedding"])
+    exact, x = _unit(pdf["embedding"], pdf["dim"].iloc[0])
     g = Graph(x)
     packed = {f"links{i}": a.astype(np.int32) for i, a in enumerate(g.links)}
     blob = _pack(exact=exact[g.order], cls=pdf["cls"].to_numpy()[g.order], m=pdf["m"].to_numpy()[g.order], sizes=np.array(g.sizes), **packed)
@@ -161,7 +182,7 @@ def _query(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="Int64"), "n": pd.Series(dtype="Int64"), "by": pd.Series(dtype="bool")})
     g, exact, cls, m = _load(graphs["graph"].iloc[0])
     queries = queries.sort_values("cls")
-    own, q = _unit(queries["embedding"])
+    own, q = _unit(queries["embedding"], queries["dim"].iloc[0])
     ids, weight = queries["cls"].to_numpy(), queries["m"].to_numpy()
     place = pd.Series(np.arange(len(cls)), index=cls).reindex(ids).fillna(-1).to_numpy(np.int64)
     both = np.unique(np.concatenate([ids, cls]))
@@ -193,9 +214,11 @@ def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
     ids; a null id gives no component id of its own and isn't kept. Other columns are
     ignored; an empty table gives an empty one.
     """
-    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    rows = written(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.when(finite, F.col("embedding")).alias("embedding")), "vectors")
-    classes = written(rows.filter("embedding is not null").groupBy("embedding").agg(F.min("row").alias("cls"), F.count("*").alias("m"), F.min("vec_id").alias("least")).withColumn("dim", F.size("embedding")), "classes")
+    types = {f.name: f.dataType for f in vectors.schema}
+    kind = "<f4" if isinstance(types["embedding"].elementType, FloatType) else "<f8"
+    numbered = vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding"))
+    rows = written(arrow_map(numbered, _packed(kind), f"row long, vec_id {types['vec_id'].simpleString()}, embedding binary", NARROW_ROWS), "vectors")
+    classes = written(rows.filter("embedding is not null").groupBy("embedding").agg(F.min("row").alias("cls"), F.count("*").alias("m"), F.min("vec_id").alias("least")).withColumn("dim", (F.length("embedding") / int(kind[-1])).cast("int")), "classes")
     total, dim = classes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
     shards, blocks = max(SHARDS, -(-total // min(SHARD_SIZE, max(1, SHARD_BYTES // (8 * dim))))), max(1, -(-total // BLOCK_SIZE))
     dealt = classes.select("dim", F.pmod(F.xxhash64("cls"), F.lit(shards)).cast("int").alias("shard"), "cls", "m", "embedding")
