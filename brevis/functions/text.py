@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = " \t\r\f\x0b"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row, however often and within whatever lambdas use has it: Spark computes an expression wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def remove_tags(s: Column) -> Column:
     """Without <...>, white space squeezed and trimmed."""
     return F.trim(F.regexp_replace(F.regexp_replace(s, "<[^>]+>", " "), "\\s+", " "))
 
 
+#: All but ASCII letters, digits, hyphens and spaces, listed: Java's matcher is several times slower on the negated class.
+NOT_WORDS = "[\\x00-\\x1f!-,./:-@\\[-`{-\\x{10ffff}]+"
+
+
 def remove_punct(s: Column) -> Column:
     """Only ASCII letters, digits, hyphens and spaces stay; tabs and line feeds vanish too."""
-    return F.trim(F.regexp_replace(s, "[^a-zA-Z0-9\\- ]", ""))
+    return F.trim(F.regexp_replace(s, NOT_WORDS, ""))
 
 
 def is_punct(s: Column) -> Column:
@@ -24,14 +35,15 @@ def is_punct(s: Column) -> Column:
 
 def fix_text(s: Column) -> Column:
     """remove_punct, then spaces squeezed, then lower case."""
-    return F.lower(F.regexp_replace(remove_punct(s), " +", " "))
+    return F.lower(F.regexp_replace(remove_punct(s), "  +", " "))
 
 
 def word_tokens(s: Column) -> Column:
     """Tokens of text that has passed remove_punct: a leading hyphen and a run of hyphens between words stand alone."""
     lead = lambda x: F.regexp_replace(x, "((^| )-)([^-])", "$1 $3")  # noqa: E731  twice, since matches can't overlap
-    runs = F.regexp_replace(lead(lead(s)), "([^-])(--+)([^-])", "$1 $2 $3")
-    return F.filter(F.split(runs, " +"), lambda w: w != "")
+    apart = lambda x: F.regexp_replace(lead(lead(x)), "([^-])(--+)([^-])", "$1 $2 $3")
+    runs = let(s, lambda x: F.when(F.contains(x, F.lit("-")), apart(x)).otherwise(x))
+    return F.array_remove(F.split(runs, " +"), "")
 
 
 def tokenize(s: Column) -> Column:
@@ -46,7 +58,7 @@ def split_sentences(s: Column) -> Column:
 
 def n_words(s: Column) -> Column:
     """White-space separated words."""
-    return F.size(F.filter(F.split(s, "\\s+"), lambda w: w != ""))
+    return F.regexp_count(s, F.lit("\\S+"))
 
 
 def ngrams(words: Column, n: int, bounds: bool = False) -> Column:
@@ -54,21 +66,22 @@ def ngrams(words: Column, n: int, bounds: bool = False) -> Column:
     w = F.concat(F.array(F.lit("<start>")), words, F.array(F.lit("<end>"))) if bounds else words
     if n == 1:
         return w
-    return F.when(F.size(w) >= n, F.transform(F.slice(w, 1, F.size(w) - (n - 1)), lambda x, i: F.concat_ws("_", x, *[F.get(w, i + k) for k in range(1, n)]))).otherwise(F.array().cast("array<string>"))
+    runs = lambda w: F.transform(F.slice(w, 1, F.size(w) - (n - 1)), lambda x, i: F.concat_ws("_", x, *[F.get(w, i + k) for k in range(1, n)]))
+    return let(w, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<string>")))
 
 
 def skip_bigrams(words: Column, gap: int = 4) -> Column:
     """Distinct ordered pairs with at most `gap` words between them."""
-    pairs = F.transform(words, lambda x, i: F.transform(F.slice(words, i + 2, F.lit(gap + 1)), lambda y: F.concat_ws("_", x, y)))
-    return F.array_distinct(F.flatten(pairs))
+    pairs = lambda w: F.transform(w, lambda x, i: F.transform(F.slice(w, i + 2, F.lit(gap + 1)), lambda y: F.concat_ws("_", x, y)))
+    return let(words, lambda w: F.array_distinct(F.flatten(pairs(w))))
 
 
 def skip_units(words: Column, gap: int = 4) -> Column:
     """Skip bigrams and single words."""
-    return F.array_union(skip_bigrams(words, gap), words)
+    return let(words, lambda w: F.array_union(skip_bigrams(w, gap), w))
 
 
-UNITS = {"n1": lambda w: ngrams(w, 1), "n2": lambda w: ngrams(w, 2), "n3": lambda w: ngrams(w, 3), "n4": lambda w: ngrams(w, 4), "su4": skip_units, "n12": lambda w: F.concat(ngrams(w, 1), ngrams(w, 2)), "n23": lambda w: F.concat(ngrams(w, 2), ngrams(w, 3)), "s2": lambda w: skip_bigrams(w, 2)}
+UNITS = {"n1": lambda w: ngrams(w, 1), "n2": lambda w: ngrams(w, 2), "n3": lambda w: ngrams(w, 3), "n4": lambda w: ngrams(w, 4), "su4": skip_units, "n12": lambda w: let(w, lambda w: F.concat(ngrams(w, 1), ngrams(w, 2))), "n23": lambda w: let(w, lambda w: F.concat(ngrams(w, 2), ngrams(w, 3))), "s2": lambda w: skip_bigrams(w, 2)}
 
 
 def units(words: Column, kind: str) -> Column:
@@ -123,22 +136,29 @@ def _capital(s: Column) -> Column:
 
 def clean_sentence(s: Column) -> Column:
     """Of sentences with over 8 words: phrases with a weekday, a closing attribution (if over 10 words are left), and discourse markers taken out."""
-    x = F.regexp_replace(s, f"(?i){DAY_PHRASE}", "$5")
-    x = F.regexp_replace(F.regexp_replace(x, "^, (\\w)", "$1"), "\\s+", " ")
-    x = F.when(n_words(x) > 10, F.regexp_replace(x, f"(?i){SAID}", ".")).otherwise(x)
+    day = F.regexp_replace(s, f"(?i){DAY_PHRASE}", "$5")
+    day = F.regexp_replace(F.regexp_replace(day, "^, (\\w)", "$1"), "\\s+", " ")
+    x = let(day, lambda x: F.when(n_words(x) > 10, F.regexp_replace(x, f"(?i){SAID}", ".")).otherwise(x))
     for pattern in (f"(?i){OPENING_MARKERS}", f"(?i){CONJUNCTIONS}", INNER_MARKERS):
         x = F.regexp_replace(x, pattern, "")
-    return F.when(n_words(s) > 8, _capital(F.btrim(x, F.lit(BLANKS + "\n")))).otherwise(s)
+    return F.when(n_words(s) > 8, let(F.btrim(x, F.lit(BLANKS + "\n")), _capital)).otherwise(s)
+
+
+def tightened(x: Column) -> Column:
+    """A cleaned sentence without its closing clause, if that has an attribution and is shorter than what it follows."""
+    words = lambda c: F.filter(F.split(c, "\\s+"), lambda w: w != "")
+
+    def rule(x: Column, end: Column) -> Column:
+        before = n_words(F.replace(F.substring(x, F.lit(1), F.length(x) - F.length(end) - 1), F.lit(","), F.lit(" ")))
+        kept = lambda clause: F.lower(F.get(words(x), F.lit(0))).isin(*NOT_OPENING) | F.lower(F.get(clause, F.lit(0))).isin(*NOT_CLOSING) | (F.size(clause) >= before) | (F.size(clause) == 0)
+        return F.when(F.coalesce(let(words(end), kept), F.lit(True)), x).otherwise(F.regexp_replace(x, f"(?i){TOLD}", "."))
+
+    return let(x, lambda x: let(F.substring_index(x, ",", -1), lambda end: rule(x, end)))
 
 
 def clean_aggressive(s: Column) -> Column:
     """clean_sentence, and then a closing clause with an attribution goes if it is shorter than what it follows."""
-    x = clean_sentence(s)
-    words = lambda c: F.filter(F.split(c, "\\s+"), lambda w: w != "")
-    clause = words(F.substring_index(x, ",", -1))
-    before = words(F.replace(F.regexp_replace(x, ",?[^,]*$", ""), F.lit(","), F.lit(" ")))
-    stays = F.lower(F.get(words(x), F.lit(0))).isin(*NOT_OPENING) | F.lower(F.get(clause, F.lit(0))).isin(*NOT_CLOSING) | (F.size(clause) >= F.size(before)) | (F.size(clause) == 0)
-    return F.when(F.coalesce(stays, F.lit(True)), x).otherwise(F.regexp_replace(x, f"(?i){TOLD}", "."))
+    return tightened(clean_sentence(s))
 
 
 def clean_html(s: Column) -> Column:

@@ -193,7 +193,7 @@ def paragraph_starters(docs: DataFrame, words: int = 20) -> DataFrame:
 
 def variants(sents: DataFrame) -> DataFrame:
     """sents with a row per distinct wording of a sentence: as it is, cleaned, cleaned aggressively; variant counts them, words and length are the wording's."""
-    texts = F.array_distinct(F.array(F.col("orig"), T.clean_sentence(F.col("orig")), T.clean_aggressive(F.col("orig"))))
+    texts = T.let(T.clean_sentence(F.col("orig")), lambda x: F.array_distinct(F.array(F.col("orig"), x, T.tightened(x))))
     rows = sents.select("topic_id", "doc_id", "ord", F.posexplode(texts).alias("variant", "orig"))
     return rows.withColumn("words", T.tokenize(F.col("orig"))).withColumn("length", T.n_words(F.col("orig")))
 
