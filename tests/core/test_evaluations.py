@@ -33,3 +33,17 @@ def test_wordings_are_cleaned_once(spark):
     v = C.variants(sents)
     assert _times(v, "monday|") == 1
     assert [r["orig"] for r in v.orderBy("variant").collect()] == [s, "The two delegations met again in the old capital for talks about grain."]
+
+
+def test_a_topic_never_meets_in_a_join(spark):
+    """Joins of sentences or concepts by topic alone used to sort a whole topic in a task."""
+    sents = spark.createDataFrame([("t", 1, 0, ["a", "b"], 2)], "topic_id string, doc_id long, ord int, words array<string>, overlap int")
+    queries = spark.createDataFrame([("t", "b c")], "topic_id string, query string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (C.with_overlap(sents.drop("overlap"), queries, ("x",)), C.df_or_tf(sents), C.sentence_values(sents), C.document_reinforcement(C.occurrences(sents))):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
