@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .rows import _udf
+from .text import ngrams
 
 
 def by_whitespace(s: Column) -> Column:
@@ -88,8 +89,7 @@ def clean_url(url: Column) -> Column:
 
 def alnum_bigrams(words: Column) -> Column:
     """Neighbours among the words that have a letter or a digit."""
-    w = F.filter(words, lambda x: x.rlike("[a-zA-Z0-9]"))
-    return F.when(F.size(w) > 1, F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat_ws("_", x, F.get(w, i + 1)))).otherwise(F.array().cast("array<string>"))
+    return ngrams(F.filter(words, lambda x: x.rlike("[a-zA-Z0-9]")), 2)
 
 
 #: Names of days from Monday on.

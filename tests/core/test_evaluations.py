@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from brevis.functions import text as T
+from brevis.functions import tokenizers as K
 from brevis.operators import concepts as C
 
 
@@ -18,6 +19,7 @@ def test_units_tokenise_a_text_once(spark):
     assert {(r["concept"], r["weight"]) for r in w.collect()} == {("a_b", 1), ("b_a", 2), ("a_c", 1)}
     for unit in T.UNITS:
         assert _times(gold.select(T.units(T.tokenize(F.col("text")), unit).alias("x")), "lower(") == 1
+    assert _times(gold.select(K.alnum_bigrams(F.split("text", " ")).alias("x")), "[a-zA-Z0-9]") == 1
 
 
 def test_cleaning_computes_each_rule_once(spark):
